@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,14 +15,31 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _fallback: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumensift-code-")) / "lumensift_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, str(source.relative_to(top.parent)))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds, so that a Python worker's memory doesn't follow the length of texts."""
+    """Before Python runs on executors: bound what one Arrow batch holds, so that a worker's memory doesn't follow the
+    length of texts, and ship the code."""
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 

@@ -65,7 +65,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = merged.where("group_size > 1")
     held = maybe_member(rows.withColumn("digest", digest(F.col("norm"))), "digest", hits)
     # the keeper's text stands for its group; the smallest text if the keeper's row repeats
-    keepers = held.join(hits, "digest").where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
+    own = hits.select("digest", F.col("keep_id").alias("id"))
+    keepers = held.join(own, (held["digest"] == own["digest"]) & held["id"].eqNullSafe(own["id"]), "left_semi")
+    keepers = keepers.groupBy("digest").agg(F.min("norm").alias("kept_norm"))
     unequal = held.join(keepers, "digest").where("norm <> kept_norm").select("digest").distinct()
     unequal = stored(unequal, "digests-unequal")
     found = index.entries().join(merged, "digest")

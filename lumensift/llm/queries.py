@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumensift.llm import bpe, exact_dedup, mixing, secrets
+from lumensift.llm import bpe, exact_dedup, minhash, mixing, secrets, suffix
 from lumensift.llm.common import table
 
 #: Where the public tokenizer lies on every machine.
@@ -17,6 +17,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix.remove_repeats(table(spark, sf_dir, "documents"), 200)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     kinds = [k for k, *_ in secrets.PATTERNS]
@@ -25,6 +30,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
     return got.select(
