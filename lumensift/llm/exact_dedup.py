@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import SPACE, maybe_member, shared_path, stored
+from lumensift.llm.common import SPACE, flagged, maybe_member, shared_path, stored
 
 
 def normalised(text: Column) -> Column:

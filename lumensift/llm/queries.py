@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumensift.llm import bpe, exact_dedup, minhash, mixing, secrets, suffix
+from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, secrets, suffix, toxicity
 from lumensift.llm.common import table
 
 #: Where the public tokenizer lies on every machine.
@@ -22,6 +22,15 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), held_out=2))
+    got = toxicity.score(docs, model)
+    held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return got.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     kinds = [k for k, *_ in secrets.PATTERNS]
@@ -47,3 +56,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
+    turns = turns.unionByName(spark.createDataFrame(both, "conv_id long, turn long, role string, text string"))
+    return chat.read_back(chat.format_conversations(turns))

@@ -49,12 +49,20 @@ def buffer_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]], at - at[0]
 
 
+def white_space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of its text): words are runs of other bytes than ASCII white space, A-Z as a-z."""
+    return runs(data, offsets, white_space(data))[:2]
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of its text, first byte) of each run of bytes that aren't white, with A-Z as a-z."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    white = (data == 32) | ((data >= 9) & (data <= 13))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     word = ~white
@@ -69,7 +77,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total[0] = 0
     np.cumsum(BYTE_VALUE[lower] * powers(BASE, n), out=total[1:])
     h = (total[end] - total[start]) * powers(INVERSE, n)[start]
-    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1
+    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1, start
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
