@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, secrets, suffix, toxicity
+from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, secrets, suffix, toxicity, vectors
 from lumensift.llm.common import table
 
 #: Where the public tokenizer lies on every machine.
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     kinds = [k for k, *_ in secrets.PATTERNS]
