@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, secrets, suffix, toxicity, vectors
+from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, ngrams, secrets, suffix, toxicity, vectors
 from lumensift.llm.common import table
 
 #: Where the public tokenizer lies on every machine.
@@ -62,6 +62,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = ngrams.backoff_scores(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), "n_backoff")
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     both = [(-1, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
