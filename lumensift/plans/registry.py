@@ -4,10 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with the SQL that gives the same rows."""
+
+    def add(f: Callable) -> Callable:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from lumensift.plans import code, findings, relations, reports, scans  # noqa: F401
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
