@@ -17,13 +17,13 @@ TOXIC = 0.3
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the classifier takes for toxic. It learns from the labelled documents of sf_dir."""
-    model = toxicity.train(toxicity.labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    scored = toxicity.score(keyed, model, id_col="_row").where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("_row"))
-    gone = stored(scored.distinct(), "pipeline-toxic")
-    seen = flagged(keyed, "_row", gone)
-    rest = seen.where("_maybe").drop("_maybe").join(gone, "_row", "left_anti")
-    return seen.where("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    model = toxicity.train(table(spark, sf_dir, "documents"), toxicity.toxic_labels(table(spark, sf_dir, "labels")))
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    gone = toxicity.score(keyed, model, id_col="row").where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("row"))
+    gone = stored(gone.distinct(), "pipeline-toxic")
+    seen = flagged(keyed, "row", gone)
+    rest = seen.where("_maybe").join(gone, "row", "left_anti")
+    return seen.where("not _maybe").select("doc").unionByName(rest.select("doc")).select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
