@@ -80,13 +80,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each text, the one with the smallest identifier. Only rows of shared texts are shuffled."""
-    names = docs.columns
     groups = stored(exact_groups(docs, id_col, text_col).where("group_size > 1 and kept"), "digests-kept")
-    kept = groups.select(F.col("id").alias("_id"), F.col("digest").alias("_kept_digest")).distinct()
-    seen = flagged(docs.withColumn("_digest", sha256(normalised(F.col(text_col)))), "_digest", kept.select(F.col("_kept_digest").alias("_digest")))
-    alone = seen.where("not _maybe").select(*names)
+    kept = groups.select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), sha256(normalised(F.col(text_col))).alias("digest"))
+    seen = flagged(rows, "digest", groups.select("digest"))
     hits = seen.where("_maybe")
-    shared = hits.join(kept, hits["_digest"] == kept["_kept_digest"], "left")
-    stay = shared.where(F.col("_kept_digest").isNull()).select(*names)
-    one = shared.where(F.col("_kept_digest").isNotNull() & F.col(id_col).eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"]).select(*names)
-    return alone.unionByName(stay).unionByName(one)
+    shared = hits.join(kept, hits["digest"] == kept["kept_digest"], "left")
+    stay = shared.where("kept_digest is null")
+    one = shared.where("kept_digest is not null and id <=> kept_id").dropDuplicates(["digest"])
+    return seen.where("not _maybe").select("doc").unionByName(stay.select("doc")).unionByName(one.select("doc")).select("doc.*")

@@ -88,17 +88,13 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Rows that the mix takes nothing of are not in it, but for rows of size 0, which cost nothing and stay once.
     """
-    names = docs.columns
-    took = mix(docs, **how).groupBy("doc_id", "text_hash", "source").agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    took = took.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_taken", "_size")
-    at = docs.withColumn("_key", F.xxhash64("text"))
-    out = at.join(took, at["doc_id"].eqNullSafe(took["_doc"]) & (at["_key"] == took["_hash"]) & at["source"].eqNullSafe(took["_source"]))
-    whole = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_size"))).cast("int")
-    part = F.when(F.col("_size") == 0, F.lit(0)).otherwise(F.col("_taken") % F.col("_size")).cast("int")
-    # the first words with the white space before them; a pattern of a bounded repeat would be slow on long texts
-    word = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
-    first = F.when(part > 0, F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(word), F.lit(0)), F.lit(1), part), ""))).otherwise(F.array().cast("array<string>"))
-    texts = F.concat(F.array_repeat(F.col("text"), whole), first)
-    out = out.withColumn("_texts", texts).withColumn("_text", F.explode("_texts"))
-    return out.select(*[F.col("_text").alias(c) if c == "text" else F.char_length("_text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names])
-
+    took = mix(docs, **how).groupBy("doc_id", "text_hash", "source").agg(F.max("taken").alias("taken"), F.max("size").alias("size"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.col("source").alias("own_source"), F.xxhash64("text").alias("own_hash"), F.col("text").alias("whole"))
+    out = rows.join(took, rows["own_id"].eqNullSafe(took["doc_id"]) & (rows["own_hash"] == took["text_hash"]) & rows["own_source"].eqNullSafe(took["source"]))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int")
+    part = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("taken") % F.col("size")).cast("int")
+    words = F.regexp_extract_all("whole", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))  # each with the white space before it
+    first = F.when(part > 0, F.array(F.array_join(F.slice(words, F.lit(1), part), ""))).otherwise(F.array().cast("array<string>"))
+    out = out.select("doc", F.explode(F.concat(F.array_repeat(F.col("whole"), times), first)).alias("whole"))
+    instead = {"text": F.col("whole"), "n_chars": F.char_length("whole").cast("long")}
+    return out.select(*[instead.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
