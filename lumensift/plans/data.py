@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
@@ -100,8 +100,6 @@ EDGES_CTE = """edges AS (SELECT DISTINCT 'e' || src AS src, 'e' || dst AS dst FR
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("src"), F.lead("event_id").over(w).alias("dst"), (F.lead(micros).over(w) - micros).alias("gap"))

@@ -14,7 +14,7 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] = T.SOURCE_
     relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), "^.*?" + root.strip("/").replace(".", r"\.") + "/", "")
     files = files.withColumn("path", relative).where(T.kept_file(F.col("path"), extensions, skipped))
     ext = T.extension(F.col("path"))
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("text"), ext.alias("ext"), T.language_of(ext).alias("lang"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), ext.alias("ext"), T.language_of(ext).alias("lang"))
 
 
 def changed_files(files: DataFrame) -> DataFrame:
