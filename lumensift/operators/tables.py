@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_cleared: set[str] = set()
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set and all runs in one process."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where none is set and all runs in one process."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     if not spark.sparkContext.master.startswith("local"):
@@ -23,8 +26,20 @@ def _folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the process does
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df as a written table, so that a loop's plan doesn't grow with its rounds."""
-    path = f"{_folder(df.sparkSession).rstrip('/')}/graph-{uuid.uuid4().hex}"
+    """df as a written table, so that a loop's plan doesn't grow with its rounds; it goes when the driver ends."""
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark).rstrip('/')}/lumensift-tables/{app}"
+    if app not in _cleared:
+        _cleared.add(app)
+        atexit.register(_clear, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
