@@ -5,8 +5,9 @@ minimum are packed into four 64-bit integers, and a candidate's similarity is es
 corrected for chance agreement (1 in 16). What may reach the threshold is confirmed on the full sets.
 
 Groups are never expanded into pairs. Texts of equal word sequences are one class. Of a bucket, every class is
-compared with the smallest one only; components of the confirmed links follow; then just those pairs of a bucket that
-still lie in different components are compared, in blocks, so that no link that could join two components is missed.
+compared with the most central one only; components of the confirmed links follow; then just those pairs of a bucket
+that still lie in different components are compared, in blocks that give nothing but links between components, so that
+no link that could join two components is missed.
 
 Defined results: null and blank texts have the empty set and link with nothing; rows that share an identifier are one
 document, so a link of one of them is a link of the identifier; rows with a null identifier get a null component and
@@ -15,11 +16,10 @@ are kept; an empty table gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +30,8 @@ from lumensift.llm.textbuf import FACTORS, MASKS, buffer_of, distinct, mixed, sh
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
 BITS = 4
-#: Candidates are confirmed if their estimate isn't over six standard errors below the threshold.
-SLACK = 0.3
+#: Candidates are confirmed if their estimate isn't over five standard errors below the threshold.
+SLACK = 0.26
 #: Members of a bucket that are compared in one task, squared.
 BLOCK = 512
 
@@ -108,24 +108,89 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, words=words, percent=percent), "u long, v long")
 
 
-def _across(block: pd.DataFrame, least: int, percent: int) -> pd.DataFrame:
-    """Pairs of one block (or of two blocks) that lie in different components and may be similar."""
-    sig = np.array(block["sig"].tolist(), dtype=np.int64).view(np.uint64).reshape(len(block), -1)
-    ids, part, n, comp = (block[c].to_numpy() for c in ("rep", "part", "n_shingles", "component"))
-    one = part == block["low"].iloc[0]
-    two = part == block["high"].iloc[0]
-    rows, cols = np.flatnonzero(one), np.flatnonzero(two)
-    found = []
+def _candidates(block: pa.Table, least: int, percent: int) -> list[tuple[int, int, int]]:
+    """(agreement, row, row) of the pairs of one block, or between two, that lie in different components and may link.
+
+    A pair that shares an earlier band is met there.
+    """
+    col = lambda name: block.column(name).to_numpy()
+    flat = lambda name: np.array(block.column(name).to_pylist(), np.int64).view(np.uint64)
+    ids, part, n, comp, sig, bands = col("rep"), col("part"), col("n_shingles"), col("component"), flat("sig"), flat("bands")
+    band, low, high = (block.column(c)[0].as_py() for c in ("band", "low", "high"))
+    cols = np.flatnonzero(part == high)
+    pairs = []
     ones = np.uint64(0x1111111111111111)
-    for i in rows:
+    for i in np.flatnonzero(part == low):
         x = sig[cols] ^ sig[i]
         x = (x | (x >> np.uint64(1)) | (x >> np.uint64(2)) | (x >> np.uint64(3))) & ones
-        agree = HASHES - np.bitwise_count(x).sum(1)
+        agree = HASHES - np.bitwise_count(x).sum(1).astype(int)
         near = (agree >= least) & (comp[cols] != comp[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))
-        if part[i] == part[cols[0]] if len(cols) else False:
+        near &= ~(bands[cols, :band] == bands[i, :band]).any(1)
+        if low == high:
             near &= ids[cols] > ids[i]
-        found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in cols[near]]
-    return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        pairs += [(int(agree[k]), int(i), int(cols[k])) for k in np.flatnonzero(near)]
+    return pairs
+
+
+def _promising(block: pa.Table, least: int, percent: int) -> pa.Table:
+    """The rows of a block that some pair needs."""
+    pairs = _candidates(block, least, percent)
+    return block.take(pa.array(sorted({i for p in pairs for i in p[1:]}), pa.int64()))
+
+
+def _across(block: pa.Table, words: int, least: int, percent: int) -> pa.Table:
+    """Links of a block that join different components.
+
+    Pairs go by their estimate, the nearest first; each is confirmed on the full sets, unless the links found here
+    have joined its ends by then.
+    """
+    pairs = _candidates(block, least, percent)
+    ids, n, comp = (block.column(c).to_numpy() for c in ("rep", "n_shingles", "component"))
+    sets = []
+    for batch in block.select(["text"]).to_batches(max_chunksize=64):  # hashing takes many times a text's size
+        data, offsets = buffer_of(batch.column(0))
+        h, own, _ = shingles(data, offsets, words)
+        h, own = distinct(h, own)
+        sets += np.split(h, np.searchsorted(own, np.arange(1, batch.num_rows)))
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    u, v = [], []
+    for _, i, j in sorted(pairs, reverse=True):
+        a, b = find(comp[i]), find(comp[j])
+        if a == b:
+            continue
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if both and 100 * both >= percent * (n[i] + n[j] - both):
+            root[max(a, b)] = min(a, b)
+            u.append(ids[i])
+            v.append(ids[j])
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+PLACE = ["band", "key", "low", "high"]
+
+
+def _on_blocks(f: Callable[..., pa.Table], least: int, percent: int) -> Callable[[pa.Table], pa.Table]:
+    def on_block(block: pa.Table) -> pa.Table:
+        return f(block, least=least, percent=percent)
+
+    return on_block
+
+
+def _blocks(in_bucket: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that still hold several components, their leader aside (it has met all), by pair of parts."""
+    rest = in_bucket.where("size > 2 and rep <> leader").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rest = rest.withColumn("component", F.coalesce("component", "rep"))
+    open_ = rest.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("left")).where("c1 <> c2")
+    rest = rest.join(open_.select("band", "key", "left"), ["band", "key"])
+    parts = F.ceil(F.col("left") / BLOCK).cast("int")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rest.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "n_shingles", "sig", "bands", "component")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,27 +202,25 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = stored(classes, "minhash-classes")
     least = _least_agreeing(percent / 100)
-    members = classes.where("n_shingles > 0 and rep is not null").select("rep", "n_shingles", "sig", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    in_bucket = stored(members.join(buckets, ["band", "key"]), "minhash-members")
+    members = classes.where("n_shingles > 0 and rep is not null").select("rep", "n_shingles", "sig", "bands", F.posexplode("bands").alias("band", "key"))
+    sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    in_bucket = stored(members.join(sizes, ["band", "key"]), "minhash-members")
+    # the leader of a bucket is its most central member, that of the largest buckets: most others link with it
+    central = in_bucket.groupBy("rep").agg(F.sum("size").alias("central"))
+    leading = in_bucket.select("band", "key", "rep").join(central, "rep").groupBy("band", "key").agg((-F.max(F.struct("central", (-F.col("rep")).alias("m")))["m"]).alias("leader"))
+    in_bucket = stored(in_bucket.join(leading, ["band", "key"]), "minhash-led")
     leaders = classes.select(F.col("rep").alias("leader"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
     star = in_bucket.where("rep <> leader").select("leader", "rep", "sig", "n_shingles").dropDuplicates(["leader", "rep"]).join(leaders, "leader")
     star = star.where(F.expr(f"{_agreeing('sig', 'sig2')} >= {least} and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"))
     links = stored(_confirmed(stored(star.select(F.col("leader").alias("u"), F.col("rep").alias("v")), "minhash-star"), docs, words, percent), "minhash-links")
     found = components(links, "minhash-first")
-    # what a bucket still holds of several components, its leader aside: that one has met all
-    rest = in_bucket.where("size > 2 and rep <> leader").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    rest = rest.withColumn("component", F.coalesce("component", "rep"))
-    open_ = rest.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("left")).where("c1 <> c2")
-    rest = rest.join(open_.select("band", "key", "left"), ["band", "key"])
-    parts = F.ceil(F.col("left") / BLOCK).cast("int")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    rest = rest.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "n_shingles", "sig", "component")
-    pairs = rest.groupBy("band", "key", "low", "high").applyInPandas(partial(_across, least=least, percent=percent), "u long, v long").distinct()
-    pairs = stored(pairs, "minhash-across")
-    if not pairs.isEmpty():
-        more = stored(_confirmed(pairs, docs, words, percent), "minhash-more")
-        found = components(links.unionByName(more), "minhash-second")
+    promising, across = (_on_blocks(f, least, percent) for f in (_promising, partial(_across, words=words)))
+    rest = _blocks(in_bucket, found)
+    rest = stored(rest.groupBy(*PLACE).applyInArrow(promising, rest.schema), "minhash-rest")
+    if not rest.isEmpty():
+        texts = maybe_member(docs, "doc_id", rest.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
+        more = rest.join(texts.dropDuplicates(["rep"]), "rep").groupBy(*PLACE).applyInArrow(across, "u long, v long")
+        found = components(links.unionByName(stored(more, "minhash-more")), "minhash-second")
     classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     classes = classes.select("k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).alias("component_id"))
     out = rows.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
@@ -168,6 +231,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
 def drop_near(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that have a smaller identifier in their group. Only possible leavers are shuffled."""
     gone = stored(near_groups(docs, words, percent).where("not kept").select("doc_id").distinct(), "minhash-gone")
-    seen = flagged(docs, "doc_id", gone)
-    stay = seen.where("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti")
-    return seen.where("not _maybe").drop("_maybe").unionByName(stay.select(*docs.columns))
+    seen = flagged(docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id")), "doc_id", gone)
+    stay = seen.where("_maybe").join(gone, "doc_id", "left_anti")
+    return seen.where("not _maybe").select("doc").unionByName(stay.select("doc")).select("doc.*")
