@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 _fallback: dict[str, str] = {}
 _shipped: set[str] = set()
+_cleared: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +60,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+def _clear(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before the process does
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lumensift/{tag}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder, which goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_dir(spark).rstrip('/')}/lumensift/{app}"
+    if app not in _cleared:
+        _cleared.add(app)
+        atexit.register(_clear, spark, folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
