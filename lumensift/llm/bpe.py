@@ -4,7 +4,8 @@ A rolling hash over the bytes of a text proposes cuts, so that a passage that se
 each of them. A Python worker encodes a chunk once and keeps its ids (a bounded cache over all batches and tasks that
 the worker serves). A cut that falls inside a word would change the ids there: such a join is repaired by encoding the
 pieces on both sides of it again, out to the nearest white space, where agreement with the whole text is exact, since
-this tokenizer never lets a token cross white space.
+this tokenizer never lets a token cross white space. For the same reason a new chunk is put together from the ids of
+its words, of which a worker remembers the latest ones.
 
 Defined results: null and empty texts have no ids and decode to the empty string; special strings in a text become
 their special ids, as in the library; repeated rows are encoded each; further columns are not read.
@@ -13,6 +14,7 @@ their special ids, as in the library; repeated rows are encoded each; further co
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,6 +27,8 @@ from lumensift.llm.common import small_batches
 
 #: Bytes of ids and texts that a worker's cache holds before its older half goes.
 CACHE_BYTES = 48 << 20
+#: Words that a worker remembers; then it starts anew.
+KNOWN_WORDS = 300_000
 #: A cut every so many bytes, on average; a power of two.
 MEAN_CHUNK = 512
 #: Bytes that the rolling hash sees; a power of two.
@@ -74,6 +78,9 @@ class Codec:
         self.tok.no_truncation()
         self.young: dict[bytes, tuple[bytes, str]] = {}
         self.old: dict[bytes, tuple[bytes, str]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.text: dict[bytes, str] = {}
+        self.blank: set[bytes] = set()  # words without ids
         self.held = self.encoded = 0
 
     @classmethod
@@ -82,6 +89,39 @@ class Codec:
             cls.kept[path] = cls(path)
         return cls.kept[path]
 
+    def _learn(self, words: set[bytes]) -> None:
+        """Makes ``ids`` and ``text`` know the words, which hold no white space."""
+        if len(self.ids) > KNOWN_WORDS:
+            self.ids, self.text, self.blank = {}, {}, set()
+        ids, text = self.ids, self.text
+        # What has the same ids: the word in lower case, and apart from it the point or comma that ends it, as letters
+        # and marks never share a token. Only for words of ASCII (beyond it, composing and lower case don't commute)
+        # without special strings.
+        whole, marked = [], []
+        for w in words.difference(ids):
+            if w.isascii() and b"<|" not in w:
+                body = w.lower()
+                if body[-1] in b".," and body[-2:-1].isalpha():
+                    marked.append((w, body[:-1], body[-1:]))
+                else:
+                    whole.append((w, body))
+            else:
+                whole.append((w, w))
+        need = {b for _, b in whole}
+        need.update(b for _, b, _ in marked)
+        need.update(m for _, _, m in marked)
+        new = list(need.difference(ids))
+        found = [e.ids for e in self.tok.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)]
+        ids.update(zip(new, [array("I", i).tobytes() for i in found], strict=True))
+        text.update(zip(new, self.tok.decode_batch(found, skip_special_tokens=False), strict=True))
+        for w, body in whole:
+            ids[w], text[w] = ids[body], text[body]
+        for w, body, mark in marked:
+            ids[w], text[w] = ids[body] + ids[mark], f"{text[body]} {text[mark]}"
+        self.blank.update(w for w, i in zip(new, found, strict=True) if not i)
+        if self.blank:
+            self.blank.update(w for w, _ in whole if not ids[w])
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids, decoded text) of each text."""
         cut = [pieces(t.encode("utf-8", "surrogatepass")) for t in texts]
@@ -91,13 +131,16 @@ class Codec:
                 if p not in here:
                     here[p] = self.young.get(p) or self.old.get(p)
         new = [p for p, v in here.items() if v is None]
-        found = self.tok.encode_batch_fast([p.decode("utf-8", "surrogatepass") for p in new], add_special_tokens=False)
+        split = [p.split() for p in new]
+        self._learn(set().union(*split))
         self.encoded += len(new)
-        ids = [e.ids for e in found]
-        for p, i, text in zip(new, ids, self.tok.decode_batch(ids, skip_special_tokens=False), strict=True):
-            v = here[p] = (np.array(i, "<u4").tobytes(), text)
+        of, as_text = self.ids.__getitem__, self.text.__getitem__
+        for p, words in zip(new, split, strict=True):
+            if self.blank and not self.blank.isdisjoint(words):
+                words = [w for w in words if self.ids[w]]
+            ids, text = v = here[p] = (b"".join(map(of, words)), " ".join(map(as_text, words)))
             self.young[p] = v
-            self.held += len(p) + len(v[0]) + len(text) + 300
+            self.held += len(p) + len(ids) + len(text) + 300
             if self.held > CACHE_BYTES // 2:
                 self.old, self.young, self.held = self.young, {}, 0
         # without a decoder the library joins tokens by a space, and so do the parts that have any
