@@ -24,7 +24,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(toxicity.labelled(docs, table(spark, sf_dir, "labels"), held_out=2))
+    model = toxicity.train(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels"), held_out=2))
     got = toxicity.score(docs, model)
     held_out = F.coalesce(toxicity.fold(F.col("doc_id")) == 2, F.lit(False))
     predicted = (F.col("score") >= 0.3).cast("int")

@@ -128,14 +128,17 @@ def _bags(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(size.astype(np.int64)), lists], names=["label", "size", "places"])
 
 
-def train(rows: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on rows (doc_id, text, label): at most max_rows of them, those of the smallest hashes."""
-    small_batches(rows.sparkSession)
-    rows = rows.where("label is not null")
-    sample = rows.select("doc_id", "label").withColumn("_h", F.xxhash64(F.lit(11), "doc_id")).orderBy("_h", "doc_id").limit(max_rows)
-    sample = sample.groupBy("doc_id").agg(F.max("label").alias("label"))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Fit on docs (doc_id, text) with labels (doc_id, label): max_rows labels at most, those of the smallest hashes.
+
+    The sample of labels is taken before any text is read; only its documents are.
+    """
+    small_batches(docs.sparkSession)
+    sample = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    sample = sample.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(max_rows)
     # max_rows identifiers and labels at most
-    held = stored(rows.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("long").alias("label")), "toxicity-sample")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    held = stored(held.select("text", F.col("label").cast("long").alias("label")), "toxicity-sample")
     n, n1 = held.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, n1 / n if n else 0.0)
     if not n1 or n1 == n:
@@ -197,10 +200,7 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def labelled(docs: DataFrame, labels: DataFrame, held_out: int | None = 2) -> DataFrame:
-    """(doc_id, text, label) of the documents with a toxic label, without the held-out fold."""
-    known = labels.select("doc_id", F.col("toxic").alias("label")).where("doc_id is not null and toxic is not null")
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    if held_out is not None:
-        known = known.where(fold(F.col("doc_id")) != held_out)
-    return docs.select("doc_id", "text").join(known, "doc_id")
+def toxic_labels(labels: DataFrame, held_out: int | None = 2) -> DataFrame:
+    """(doc_id, label) of a table of labels, without the held-out fold."""
+    known = labels.select("doc_id", F.col("toxic").alias("label"))
+    return known if held_out is None else known.where(fold(F.col("doc_id")) != held_out)
