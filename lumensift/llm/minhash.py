@@ -32,8 +32,8 @@ HASHES = BANDS * ROWS
 BITS = 4
 #: Candidates are confirmed if their estimate isn't over five standard errors below the threshold.
 SLACK = 0.26
-#: Members of a bucket that are compared in one task, squared.
-BLOCK = 512
+#: Members of a bucket that are compared in one task, squared (row numbers of a block are 16-bit integers).
+BLOCK = 384
 
 SIGNATURES = "doc_id long, k1 long, k2 long, n_shingles long, sig array<long>, bands array<long>"
 
@@ -108,8 +108,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return both.select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, words=words, percent=percent), "u long, v long")
 
 
-def _candidates(block: pa.Table, least: int, percent: int) -> list[tuple[int, int, int]]:
-    """(agreement, row, row) of the pairs of one block, or between two, that lie in different components and may link.
+def _candidates(block: pa.Table, least: int, percent: int) -> np.ndarray:
+    """(agreement, row, row), n x 3, of the pairs of one block, or between two, that lie in different components and may link.
 
     A pair that shares an earlier band is met there.
     """
@@ -128,14 +128,15 @@ def _candidates(block: pa.Table, least: int, percent: int) -> list[tuple[int, in
         near &= ~(bands[cols, :band] == bands[i, :band]).any(1)
         if low == high:
             near &= ids[cols] > ids[i]
-        pairs += [(int(agree[k]), int(i), int(cols[k])) for k in np.flatnonzero(near)]
-    return pairs
+        k = np.flatnonzero(near)
+        pairs.append(np.stack([agree[k], np.full(len(k), i), cols[k]], 1).astype(np.int16))
+    return np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int16)
 
 
 def _promising(block: pa.Table, least: int, percent: int) -> pa.Table:
     """The rows of a block that some pair needs."""
     pairs = _candidates(block, least, percent)
-    return block.take(pa.array(sorted({i for p in pairs for i in p[1:]}), pa.int64()))
+    return block.take(pa.array(np.unique(pairs[:, 1:]).astype(np.int64)))
 
 
 def _across(block: pa.Table, words: int, least: int, percent: int) -> pa.Table:
@@ -160,7 +161,7 @@ def _across(block: pa.Table, words: int, least: int, percent: int) -> pa.Table:
         return c
 
     u, v = [], []
-    for _, i, j in sorted(pairs, reverse=True):
+    for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")]:
         a, b = find(comp[i]), find(comp[j])
         if a == b:
             continue
