@@ -4,11 +4,14 @@ Vectors of a label are dealt to cluster shards, each to its ``overlap`` nearest
 adjacency lists by robust pruning (a neighbour is left out if a chosen one is nearer to it by the factor ``ALPHA``),
 and the lists of all shards are united. Every vector then searches its shards greedily from the shard's medoid with a
 bounded frontier, and from what lies in range the search expands over the united lists until nothing new is in range,
-into other shards as well. Every pair is verified by its cosine in double precision. A sample of queries against all
-rows audits the recall; below ``LEAST_RECALL`` the index is rebuilt with twice the overlap.
+into other shards as well. Every pair is verified by its cosine in double precision. Inside a shard all pairs are
+compared in pairs of blocks of about ``MOST_SHARD`` vectors, so that only pairs without a common shard depend on the
+graph. A sample of queries against all rows, of any nodes and of nodes with links, audits the recall; below
+``LEAST_RECALL`` an index with twice the overlap is built and the links of all of them are kept. If the recall stays
+under ``RECALL_FLOOR`` the operator raises.
 
-The pivots are a bounded sample (``MOST_PIVOTS``, smallest hashes), every row is indexed. Shards over ``MOST_SHARD``
-vectors are split; their parts share bridge vectors, by which searches pass from part to part.
+The pivots are a bounded sample (``MOST_PIVOTS`` at an overlap of 2 and in proportion to it, smallest hashes), every
+row is indexed. The graphs of shards over ``MOST_SHARD`` vectors are built in parts, which share bridge vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite values, and rows without label or
 identifier, link with nothing; vectors of different lengths aren't compared; equal vectors of a label are one node of
@@ -38,6 +41,8 @@ FRONTIER = 24
 ALPHA = 1.2
 AUDITED = 128
 LEAST_RECALL = 0.97
+RECALL_FLOOR = 0.9
+MOST_OVERLAP = 16
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +81,14 @@ def _deal(batches: Iterator[pa.RecordBatch], pivots: dict, overlap: int) -> Iter
                 rows.append(at)
                 shards.append(np.full(len(at), -1))
                 continue
-            near = _matrix(batch.column(3).take(pa.array(at)).to_pylist(), group[1]) @ pivots[group].T
-            k = min(overlap, near.shape[1])
-            best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-            rows.append(np.repeat(at, k))
-            shards.append(best.ravel())
+            own = pivots[group]
+            k = min(overlap, len(own))
+            step = max(1, (4 << 20) // len(own))  # bounds the cosines held at once
+            for some in (at[i : i + step] for i in range(0, len(at), step)):
+                near = _matrix(batch.column(3).take(pa.array(some)).to_pylist(), group[1]) @ own.T
+                best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                rows.append(np.repeat(some, k))
+                shards.append(best.ravel())
         take = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         shard = pa.array((np.concatenate(shards) if shards else np.zeros(0)).astype(np.int32))
         yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(4)), shard], names=["vec_id", "label", "length", "vec", "shard"])
@@ -167,6 +175,20 @@ def _search(shard: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "hits": [ids[h].tolist() for h in hit], "exits": [e.tolist() for e in exits]})
 
 
+def _compare(pair: pd.DataFrame, least: float) -> pd.DataFrame:
+    """All links between two blocks of a shard, or inside one."""
+    length = int(pair["length"].iloc[0])
+    one, two = pair[pair["block"] == pair["low"]], pair[pair["block"] == pair["high"]]
+    if one.empty or two.empty:
+        return pd.DataFrame({"u": np.zeros(0, np.int64), "v": np.zeros(0, np.int64)})
+    x, y = (_matrix(side["vec"].tolist(), length) for side in (one, two))
+    us, vs = one["vec_id"].to_numpy(), two["vec_id"].to_numpy()
+    found = [(us[at + i], vs[j]) for at in range(0, len(x), 256) for i, j in [np.nonzero(x[at : at + 256] @ y.T >= least)]]
+    u, v = (np.concatenate(side) for side in zip(*found, strict=True))
+    keep = u < v if pair["low"].iloc[0] == pair["high"].iloc[0] else u != v
+    return pd.DataFrame({"u": np.minimum(u, v)[keep], "v": np.maximum(u, v)[keep]})
+
+
 def _cosines(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -203,8 +225,15 @@ def _by_group(rows: list) -> dict:
 
 
 def audit(nodes: DataFrame, pairs: DataFrame, least: float, queries: int = AUDITED) -> float:
-    """Share of the links of some queries (smallest hashes), found by comparing them with all rows, that pairs has."""
-    sample = _by_group(nodes.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(queries).collect())
+    """Share of the links of some queries (smallest hashes), found by comparing them with all rows, that pairs has.
+
+    The queries are nodes with links, and eight times as many of all nodes: links may be rare among them, but only
+    there are nodes all of whose links were missed.
+    """
+    first = lambda df, most: df.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(most)
+    ends = pairs.select(F.col("u").alias("vec_id")).unionByName(pairs.select(F.col("v").alias("vec_id"))).distinct()
+    linked = nodes.join(first(ends, queries), "vec_id", "left_semi")
+    sample = _by_group(list({r["vec_id"]: r for r in first(nodes, 8 * queries).collect() + linked.select(*nodes.columns).collect()}.values()))
     true = nodes.mapInArrow(partial(_brute, queries=sample, least=least), "u long, v long")
     true = true.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     known = pairs.withColumn("known", F.lit(1))
@@ -214,15 +243,23 @@ def audit(nodes: DataFrame, pairs: DataFrame, least: float, queries: int = AUDIT
 
 def _pairs(nodes: DataFrame, count: int, least: float, overlap: int) -> DataFrame:
     """Distinct verified pairs (u < v) of the nodes."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(max(1, min(MOST_PIVOTS, count // PER_PIVOT))).collect()
+    # in proportion to the overlap, so that shards don't grow with it
+    many = max(1, min(MOST_PIVOTS, count // PER_PIVOT) * max(overlap, 2) // 2)
+    sample = nodes.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(many).collect()
     pivots = {k: v for k, (_, v) in _by_group(sample).items()}
     dealt = stored(nodes.mapInArrow(partial(_deal, pivots=pivots, overlap=overlap), "vec_id long, label long, length int, vec binary, shard int"), "vectors-dealt")
-    # one row for each shard, of which there are MOST_PIVOTS and one for each label without a pivot
+    # one row for each shard, of which there is one for each pivot and one for each label without a pivot
     sizes = dealt.groupBy("label", "length", "shard").agg(F.count(F.lit(1)).alias("size"))
     parts = F.ceil(F.col("size") / MOST_SHARD).cast("int")
     dealt = dealt.join(sizes, ["label", "length", "shard"])
     chance = F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.col("size"))
-    own = F.array(F.pmod(F.xxhash64("vec_id"), parts).cast("int"))
+    home = F.pmod(F.xxhash64("vec_id", "shard"), parts).cast("int")
+    own = F.array(home)
+    # exact inside a shard: each vector goes to the pairs of its block with every block of the shard
+    with_each = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least("block", o).alias("low"), F.greatest("block", o).alias("high")))
+    blocks = dealt.withColumn("block", home).withColumn("p", F.explode(with_each)).select("label", "length", "shard", "p.low", "p.high", "block", "vec_id", "vec")
+    close = blocks.groupBy("label", "length", "shard", "low", "high").applyInPandas(partial(_compare, least=least), "u long, v long")
+    close = stored(close.distinct(), "vectors-close")
     dealt = dealt.withColumn("part", F.explode(F.when(chance < BRIDGES, F.sequence(F.lit(0), parts - 1)).otherwise(own)))
     dealt = stored(dealt.select("label", "length", "shard", "part", "vec_id", "vec"), "vectors-parts")
     place = ["label", "length", "shard", "part"]
@@ -233,14 +270,21 @@ def _pairs(nodes: DataFrame, count: int, least: float, overlap: int) -> DataFram
     found = stored(found, "vectors-found")
     ordered = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
     pairs = stored(ordered(found.select(F.col("vec_id").alias("u"), F.explode("hits").alias("v"))), "vectors-pairs")
-    ahead = ordered(found.select(F.col("vec_id").alias("u"), F.explode("exits").alias("v")))
+    exits = found.select(F.col("vec_id").alias("u"), F.explode("exits").alias("v"))
+
+    def beyond(new: DataFrame) -> DataFrame:
+        ways = new.unionByName(new.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        return ways.join(united.select(F.col("vec_id").alias("v"), "near"), "v").select("u", F.explode("near").alias("v"))
+
+    missed = stored(close.join(pairs, ["u", "v"], "left_anti"), "vectors-missed")
+    pairs = stored(pairs.unionByName(missed), "vectors-pairs")
+    ahead = ordered(exits.unionByName(beyond(missed)))
     while True:  # into other shards, until a round finds nothing new
         new = stored(_verified(ahead.join(pairs, ["u", "v"], "left_anti"), nodes, least), "vectors-new")
         if new.isEmpty():
             return pairs
         pairs = stored(pairs.unionByName(new), "vectors-pairs")
-        ways = new.unionByName(new.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        ahead = ordered(ways.join(united.select(F.col("vec_id").alias("v"), "near"), "v").select("u", F.explode("near").alias("v")))
+        ahead = ordered(beyond(new))
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.98, overlap: int = 2) -> DataFrame:
@@ -254,13 +298,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, overlap: int = 2) -> D
     nodes = classes.select(F.col("rep").alias("vec_id"), "label", "length", "vec").dropDuplicates(["vec_id"])
     nodes = stored(nodes, "vectors-nodes")
     count = nodes.count()
+    pairs = nodes.select(F.col("vec_id").alias("u"), F.col("vec_id").alias("v")).where("false")
     while count:
-        pairs = _pairs(nodes, count, least, overlap)
-        if audit(nodes, pairs, least) >= LEAST_RECALL or overlap >= 16:
+        pairs = stored(pairs.unionByName(_pairs(nodes, count, least, overlap)).distinct(), "vectors-all")
+        recall = audit(nodes, pairs, least)
+        if recall >= LEAST_RECALL:
+            break
+        if overlap >= MOST_OVERLAP:
+            if recall < RECALL_FLOOR:
+                raise RuntimeError(f"recall of {recall:.3f} at an overlap of {overlap}")
             break
         overlap *= 2
-    else:
-        pairs = nodes.select(F.col("vec_id").alias("u"), F.col("vec_id").alias("v")).where("false")
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sizes = classes.groupBy(F.col("rep").alias("v")).agg(F.max("size").alias("size"))
     links = both.join(sizes, "v").groupBy("u").agg(F.sum("size").alias("links")).withColumnRenamed("u", "rep")

@@ -313,6 +313,35 @@ def test_vectors(spark):
     assert vectors.near_vectors(table.where("false")).collect() == []
 
 
+def test_vectors_of_split_shards(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_SHARD", 40)
+    monkeypatch.setattr(vectors, "BRIDGES", 1)
+    base = np.random.default_rng(9).normal(size=(200, 32))
+    rows = [(2 * i + k, 0, 32, v.tobytes()) for i, b in enumerate(base / np.linalg.norm(base, axis=1)[:, None]) for k, v in enumerate((b, b))]
+    nodes = spark.createDataFrame(rows, "vec_id long, label long, length int, vec binary")
+    got = {(r.u, r.v) for r in vectors._pairs(nodes, 1, 0.98, 2).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(200)}
+
+
+def test_vectors_keep_all_rounds_and_refuse_low_recall(spark, monkeypatch):
+    table = spark.createDataFrame([(i, [float(i == j) for j in range(6)], 0) for i in range(6)], "vec_id long, embedding array<double>, label int")
+    rounds = {2: (0, 1), 4: (2, 3), 8: (3, 4), 16: (0, 1)}
+    monkeypatch.setattr(vectors, "_pairs", lambda nodes, count, least, overlap: spark.createDataFrame([rounds[overlap]], "u long, v long"))
+    monkeypatch.setattr(vectors, "audit", lambda *_: 0.95)
+    assert {r.vec_id: r.n_links for r in vectors.near_vectors(table).collect()} == {0: 1, 1: 1, 2: 1, 3: 2, 4: 1, 5: 0}
+    monkeypatch.setattr(vectors, "audit", lambda *_: 0.5)
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_vectors(table)
+
+
+def test_vectors_audit_asks_nodes_with_links(spark):
+    rng = np.random.default_rng(2)
+    unit = [v / np.linalg.norm(v) for v in rng.normal(size=(3000, 32))]
+    unit[1:3] = [unit[0], unit[0]]
+    nodes = spark.createDataFrame([(i, 0, 32, v.tobytes()) for i, v in enumerate(unit)], "vec_id long, label long, length int, vec binary")
+    assert vectors.audit(nodes, spark.createDataFrame([(0, 1)], "u long, v long"), 0.98, queries=2) < 0.5
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     words = [f"wo{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
