@@ -34,8 +34,9 @@ _BADGE = "CASE ai_action " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.BAD
 @query(f"""WITH {TRIAGE_CTE}, {_RANKED}, l AS (SELECT rank, ['### ' || rank || '. ' || {_ICON} || ' [' || rule_id || '] ' || {_BADGE}, '', '- **文件**: `' || file || '`', '- **行号**: ' || line, '- **严重等级**: ' || severity, '- **类别**: ' || category, '- **描述**: ' || message, ''] AS ls FROM ranked)
     SELECT rank, (generate_subscripts(ls, 1) - 1)::INT AS n, unnest(ls) AS txt FROM l""")
 def report_markdown_lines(spark, sf_dir):
-    """The finding part of the Markdown report for its first 50 findings."""
-    return R.finding_lines(R.ranked(_decided(spark, sf_dir), first=50))
+    """The finding part of the Markdown report, of all findings."""
+    every = R.ranked(_decided(spark, sf_dir))
+    return R.finding_lines(every.withColumn("rank", F.col("rank").cast("int")))
 
 
 @query(f"""WITH {TRIAGE_CTE}, {FEEDBACK_CTE}, a AS (SELECT rule_id, {ACCURACY} FROM decided JOIN feedback USING (doc_id) GROUP BY rule_id), p AS (SELECT *, round(accuracy * 1000)::INT AS m, row_number() OVER (ORDER BY accuracy, rule_id)::INT AS rank FROM a)
