@@ -28,3 +28,8 @@ def same_rows(spark, name, *cuts, folder=SF, tables=("documents", "labels", "eve
 def test_report_has_all_findings(spark):
     rows = same_rows(spark, "report_markdown_lines", " ORDER BY rank LIMIT 50")
     assert len({rank for rank, *_ in rows}) > 50
+
+
+def test_every_order_has_next_runs(spark):
+    rows = same_rows(spark, "cron_next_run", " WHERE o_orderkey % 20 = 0")
+    assert len({order for order, *_ in rows}) == spark.read.parquet(f"{SF}/orders.parquet").count()
