@@ -30,11 +30,16 @@ def overlapping(spans: DataFrame, points: DataFrame, key: str, start: str = "lin
 
 
 def earlier_in_group(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
-    """Each row with the names of all rows before it in its group."""
-    a = rows.select(F.col(key).alias("_a_key"), F.col(at).alias(f"_a_{at}"), F.col(name).alias("_a_name"))
-    joined = rows.join(a, (F.col(key) == F.col("_a_key")) & (F.col(f"_a_{at}") < F.col(at)), "left")
-    packed = F.array_sort(F.collect_list(F.when(F.col("_a_name").isNotNull(), F.struct(f"_a_{at}", "_a_name"))))
-    return joined.groupBy(key, at, name).agg(F.transform(packed, lambda s: s["_a_name"]).alias("earlier"))
+    """Each row with the names of all rows before it in its group; at is a whole number.
+
+    A frame over the ordered group: no row is made for a pair, only the lists themselves grow with the group.
+    """
+    before = Window.partitionBy(key).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
+    named = F.when(F.col(at).isNotNull() & F.col(name).isNotNull(), F.struct(at, name))
+    placed = F.col(key).isNotNull() & F.col(at).isNotNull()
+    listed = rows.select(key, at, name, F.when(placed, F.collect_list(named).over(before)).alias("_before"))
+    packed = F.array_sort(F.flatten(F.collect_list("_before")))
+    return listed.groupBy(key, at, name).agg(F.transform(packed, lambda s: s[name]).alias("earlier"))
 
 
 def next_in_group(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:

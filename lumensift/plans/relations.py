@@ -113,7 +113,7 @@ def reviewer_agreement(spark, sf_dir):
 
 @query("SELECT c.conv_id, c.turn, coalesce(array_to_string(list(p.role || p.turn ORDER BY p.turn) FILTER (p.turn IS NOT NULL), '|'), '') AS earlier FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn WHERE c.turn < 12 GROUP BY ALL")
 def triangular_self_join(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").where("turn < 12").select("conv_id", "turn", F.concat("role", "turn").alias("name"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", "turn").alias("name"))
     return J.earlier_in_group(turns, "conv_id", "turn", "name").select("conv_id", "turn", F.array_join("earlier", "|").alias("earlier"))
 
 

@@ -33,3 +33,11 @@ def test_report_has_all_findings(spark):
 def test_every_order_has_next_runs(spark):
     rows = same_rows(spark, "cron_next_run", " WHERE o_orderkey % 20 = 0")
     assert len({order for order, *_ in rows}) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_long_conversations_keep_all_turns(spark, tmp_path):
+    turns = [(c, t, ("user", "assistant")[t % 2], "x") for c, n in ((1, 40), (2, 13), (3, 1)) for t in range(n)]
+    some = f"{', '.join(map(str, turns))}, (NULL, 3, 'user', 'x'), (2, NULL, 'user', 'x'), (3, 4, NULL, 'x'), (3, 5, 'user', 'x')"
+    duckdb.sql(f"COPY (SELECT * FROM (VALUES {some}) t(conv_id, turn, role, text)) TO '{tmp_path}/conversations.parquet'")
+    rows = same_rows(spark, "triangular_self_join", " WHERE c.turn < 12", folder=tmp_path, tables=("conversations",))
+    assert len(rows) == len(turns) + 4
