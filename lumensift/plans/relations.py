@@ -149,7 +149,7 @@ REACHED_CTE = f"{EDGES_CTE}, {SEEDS_CTE}, reached AS (SELECT node FROM seeds UNI
 
 
 def _seeds(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'purchase' AND event_id % 50 = 0").select(F.concat(F.lit("e"), "event_id").alias("node"))
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.concat(F.lit("e"), "event_id").alias("node"))
 
 
 @query(f"WITH RECURSIVE {REACHED_CTE} SELECT node FROM reached")

@@ -41,3 +41,9 @@ def test_long_conversations_keep_all_turns(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT * FROM (VALUES {some}) t(conv_id, turn, role, text)) TO '{tmp_path}/conversations.parquet'")
     rows = same_rows(spark, "triangular_self_join", " WHERE c.turn < 12", folder=tmp_path, tables=("conversations",))
     assert len(rows) == len(turns) + 4
+
+
+def test_reachability_starts_at_all_purchases(spark):
+    seeds = {f"e{i}" for (i,) in duckdb.sql(f"SELECT event_id FROM '{SF}/events.parquet' WHERE event_type = 'purchase'").fetchall()}
+    assert seeds <= {node for (node,) in same_rows(spark, "bfs_affected", " AND event_id % 50 = 0")}
+    assert same_rows(spark, "induced_subgraph", " AND event_id % 50 = 0")
