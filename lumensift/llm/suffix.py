@@ -1,18 +1,19 @@
-"""Removal of repeated byte strings, by prefix doubling over a sample of positions.
+"""Removal of repeated byte strings, by fingerprint anchors that replace prefix doubling.
 
-Two positions share a string of ``length`` bytes exactly if the ranks of their first halves agree and so do the ranks
-at the offset of half the length. Prefix doubling would rank every position at every power of two; here
+Two positions share a string of ``length`` bytes exactly if the names of all its bytes agree. Prefix doubling would rank
+every position at every power of two, a row for each byte in every round; no such rounds are done here, and no order of
+suffixes is made. Instead
 
-1. the first rounds are done inside each text, where they need no other text: a rolling hash names the
+1. inside each text, where no other text is needed, a rolling hash names the
    ``length / 2`` bytes at every position, and each position's string is represented by its anchor, the least such
    name within it. Neighbouring positions share anchors, so there is one anchor for each quarter of ``length`` bytes;
 2. Spark counts the anchors' names. A position whose anchor is unique is unique, and is out;
-3. anchors that repeat are ranked anew by all bytes that their positions' strings cover. Where that name repeats as
+3. anchors that repeat are named anew by all bytes that their positions' strings cover. Where that name repeats as
    well, all its positions are repeats;
-4. of the others that tie with some anchor, single positions get their full-length rank: Spark sorts the tied strings
-   by anchor, and positions are compared within each run of equal ranks.
+4. of the others that tie with some anchor, single positions get a name of their full length: Spark sorts the tied
+   strings by anchor, and positions are compared within each run of equal names.
 
-Names are hashes (64 bits to propose, 128 bits to decide) instead of ranks in sorted order, which equality doesn't need.
+Names are hashes (64 bits to propose, 128 bits to decide): equality needs no ranks in sorted order.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; matches never cross texts;
 overlapping repeats inside one text count; repeated rows repeat each other; an empty table gives an empty result;
