@@ -24,6 +24,8 @@ PATTERNS = [
 CLASSES = [
     ("entropy_hex", r"[0-9A-Fa-f]", 2.9, r"(?=.*[0-9])(?=.*[A-Fa-f])"),
     ("entropy_base64", r"[A-Za-z0-9+/_=-]", 3.7, r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    ("entropy_base36", r"[A-Za-z0-9+/_=-]", 3.5, r"^(?=.*[0-9])(?=.*[a-z])[^A-Z]*$"),
+    ("entropy_base32", r"[A-Za-z0-9+/_=-]", 3.5, r"^(?=.*[0-9])(?=.*[A-Z])[^a-z]*$"),
 ]
 WINDOW = 20
 #: Candidates that hold one of these are no secrets.

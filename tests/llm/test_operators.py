@@ -157,6 +157,18 @@ def test_secrets(docs, none):
     assert secrets.scan_secrets(none).collect() == []
 
 
+def test_secrets_of_one_case(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        letters = "abcdefghijklmnopqrstuvwxyz0123456789" if i % 2 else "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+        rows.append((i, "it is " + "7" + "".join(rng.choice(letters) for _ in range(31)) + " here"))
+    rows += [(900, "x example-" + rows[1][1][6:38]), (901, "zy" * 5 + "1z" * 15)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.scan_secrets(table).collect()}
+    assert got == {i: [(("entropy_base32", "entropy_base36")[i % 2], 6, 38)] for i in range(200)} | {900: [], 901: []}
+
+
 def test_secrets_many_matches(spark):
     text = " ".join(f"token=abcdef{i}" for i in range(3000))
     got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
