@@ -22,6 +22,11 @@ EXTENSION_LANGUAGES = {".java": "java", ".py": "python", ".js": "javascript", ".
 # What a full walk and an engine walk keep, and the folders that each leaves out.
 SOURCE_EXTENSIONS = [".java", ".py", ".js", ".jsx", ".ts", ".tsx", ".go", ".rs", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".cs", ".swift", ".kt", ".scala", ".rb", ".php"]
 SOURCE_SKIPPED = [".git", "node_modules", "__pycache__", "target", "build", "dist", ".python", "venv", ".venv", "env", ".env", "site-packages", ".python-version", "vendor", "third_party", "third-party"]
+# What call graphs read, by language, and the folders that they leave out.
+GRAPH_EXTENSIONS = {"java": [".java"], "python": [".py"], "javascript": [".js", ".jsx"], "typescript": [".ts", ".tsx", ".js", ".jsx"]}
+GRAPH_OTHERWISE = [".java", ".py", ".js", ".ts"]
+GRAPH_SKIPPED = [".git", "node_modules", "target", "build", "__pycache__", ".venv", "vendor"]
+ENGINE_LANGUAGES = {".java": "java", ".py": "python", ".js": "javascript", ".ts": "typescript", ".xml": "xml", ".md": "markdown"}
 ENGINE_EXTENSIONS = [".java", ".py", ".js", ".ts", ".xml", ".jsx", ".tsx"]
 ENGINE_SKIPPED = [".git", "node_modules", "target", "build", "__pycache__", ".venv", "vendor", "dist", ".idea", ".settings"]
 
@@ -29,7 +34,6 @@ ENGINE_SKIPPED = [".git", "node_modules", "target", "build", "__pycache__", ".ve
 RESERVED = ["if", "for", "while", "switch", "catch", "try"]
 
 
-
 def category(rule_id: Column) -> Column:
     """The category of the first prefix that fits, or unknown."""
     out = F.lit("unknown")
@@ -43,8 +47,8 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*(\.[^./]+)$", 1))
 
 
-def language_of(ext: Column) -> Column:
-    pairs = [F.lit(x) for pair in EXTENSION_LANGUAGES.items() for x in pair]
+def language_of(ext: Column, languages: dict[str, str] = EXTENSION_LANGUAGES) -> Column:
+    pairs = [F.lit(x) for pair in languages.items() for x in pair]
     return F.coalesce(F.element_at(F.create_map(*pairs), ext), F.lit(""))
 
 

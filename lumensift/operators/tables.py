@@ -1,4 +1,4 @@
-"""Written tables in the folder that a cluster's machines share."""
+"""Written tables in the folder that a cluster's machines share, and the package for their Python workers."""
 
 from __future__ import annotations
 
@@ -6,11 +6,28 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 _cleared: set[str] = set()
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumensift-code-")) / "lumensift_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(top.rglob("*.py")):
+            z.write(source, str(source.relative_to(top.parent)))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -17,6 +17,17 @@ def read_files(spark: SparkSession, root: str, extensions: list[str] = T.SOURCE_
     return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), ext.alias("ext"), T.language_of(ext).alias("lang"))
 
 
+def graph_files(spark: SparkSession, root: str, language: str = "java") -> DataFrame:
+    """The files that the call graph of a language reads."""
+    return read_files(spark, root, T.GRAPH_EXTENSIONS.get(language.lower(), T.GRAPH_OTHERWISE), T.GRAPH_SKIPPED)
+
+
+def engine_files(spark: SparkSession, root: str) -> DataFrame:
+    """The files that the syntax engine reads, with its own languages."""
+    files = read_files(spark, root, T.ENGINE_EXTENSIONS, T.ENGINE_SKIPPED)
+    return files.withColumn("lang", T.language_of(F.col("ext"), T.ENGINE_LANGUAGES))
+
+
 def changed_files(files: DataFrame) -> DataFrame:
     """What a full scan reports: every file, unchanged."""
     return files.select("path", F.lit("unchanged").alias("status"), F.lit(0).alias("additions"), F.lit(0).alias("deletions"))
@@ -40,9 +51,16 @@ def multiline_matches(texts: DataFrame, key: str, regex: str, text: str = "text"
     What lies between matches and the matches themselves come from built-ins; line numbers are running sums of their
     line ends within one text.
     """
-    whole = texts.select(key, F.split(text, regex, -1).alias("between"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("found"))
-    whole = whole.where(F.size("found") > 0)
-    pieces = whole.select(key, "found", F.transform("between", lambda p: newlines(p)).alias("gaps"), F.transform("found", lambda m: newlines(m)).alias("own"))
-    each = pieces.select(key, "gaps", "own", F.posexplode("found").alias("i", "matched"))
-    before = F.aggregate(F.slice("gaps", 1, F.col("i") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("own", 1, F.col("i")), F.lit(0), lambda a, x: a + x)
-    return each.select(key, (F.col("i") + 1).cast("int").alias("k"), (before + 1).cast("int").alias("line"), "matched")
+    out = located(texts.select(key, text), F.col(text), F.lit(regex))
+    return out.select(key, "k", "line", "matched")
+
+
+def located(texts: DataFrame, text: Column, regex: Column) -> DataFrame:
+    """texts once for each match of the expression in the text, with k (from 1), line and matched."""
+    columns = texts.columns
+    whole = texts.select("*", F.split(text, regex, -1).alias("_between"), F.regexp_extract_all(text, regex, F.lit(0)).alias("_found"))
+    whole = whole.where(F.size("_found") > 0)
+    pieces = whole.select(*columns, "_found", F.transform("_between", lambda p: newlines(p)).alias("_gaps"), F.transform("_found", lambda m: newlines(m)).alias("_own"))
+    each = pieces.select(*columns, "_gaps", "_own", F.posexplode("_found").alias("_i", "matched"))
+    before = F.aggregate(F.slice("_gaps", 1, F.col("_i") + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice("_own", 1, F.col("_i")), F.lit(0), lambda a, x: a + x)
+    return each.select(*columns, (F.col("_i") + 1).cast("int").alias("k"), (before + 1).cast("int").alias("line"), "matched")
