@@ -48,7 +48,8 @@ def numbered(df: DataFrame, key: str, *then: str, start: int = 0, span: int = 40
 def numbered_by(df: DataFrame, *order: Column, start: int = 0) -> DataFrame:
     """df with ``number`` by any order: a range-partitioned table, the counts of its partitions, and places inside them."""
     names = [f"_o{i}" for i in range(len(order))]
-    keyed = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names)
+    # stored before it is dealt by range: sampling the ranges would compute it a second time
+    keyed = settled(df.withColumns(dict(zip(names, order, strict=True)))).repartitionByRange(*names)
     keyed = settled(keyed.withColumn("_part", F.spark_partition_id()))
     counts = keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,10 +23,17 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, tolerance: int
 
 
 def overlapping(spans: DataFrame, points: DataFrame, key: str, start: str = "line", end: str = "end_line", at: str = "changed_line") -> DataFrame:
-    """spans (semi) that hold a point of their key; keys without any point keep all their spans."""
-    inside = spans.join(points, [spans[key] == points[key], points[at] >= spans[start], points[at] <= spans[end]], "left_semi")
-    none = spans.join(points.select(key).distinct(), key, "left_anti")
-    return inside.unionByName(none)
+    """spans (semi) that hold a point of their key; keys without any point keep all their spans.
+
+    One sort by key: each span looks at the first point from its start on, so the work is linear in the rows of a key.
+    """
+    both = spans.select(key, F.col(start).alias("_at"), F.lit(None).cast("long").alias("_p"), F.struct(*spans.columns).alias("_span"))
+    marks = points.select(key, F.col(at).alias("_at"), F.col(at).cast("long").alias("_p"), F.lit(None).cast(both.schema["_span"].dataType).alias("_span"))
+    own = Window.partitionBy(key)
+    ahead = own.orderBy(F.desc("_at"), F.desc_nulls_last("_p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.unionByName(marks).withColumns({"_next": F.min("_p").over(ahead), "_any": F.max("_p").over(own)})
+    inside = F.col("_any").isNull() | (F.col("_next") <= F.col(f"_span.{end}")) | F.col(key).isNull()
+    return seen.where(F.col("_span").isNotNull() & inside).select("_span.*")
 
 
 def earlier_in_group(rows: DataFrame, key: str, at: str, name: str) -> DataFrame:
@@ -61,7 +68,12 @@ def known_found(known: DataFrame, found: DataFrame, how: str, slack: int = 2) ->
         "rule": (F.abs(F.col("line") - F.col("f_line")) <= slack) & (F.col("rule_id") == F.col("f_rule")),
         "range": (F.col("line") >= F.col("f_line") - slack) & (F.col("line") <= F.col("f_end") + slack),
     }[how]
-    hit = known.join(f, (F.col("file") == F.col("f_file")) & near, "left_semi").select("known_id").distinct().withColumn("_hit", F.lit(True))
+    # buckets of lines: what is compared within a file stays near, however many findings the file has
+    width, reach = 32, 0 if how == "exact" else slack
+    last = F.col("f_end") if how == "range" else F.col("f_line")
+    f = f.withColumn("f_bucket", F.explode(F.sequence(F.floor((F.col("f_line") - reach) / width), F.floor((F.greatest(last, "f_line") + reach) / width))))
+    placed = known.withColumn("_bucket", F.floor(F.col("line") / width))
+    hit = placed.join(f, (F.col("file") == F.col("f_file")) & (F.col("_bucket") == F.col("f_bucket")) & near, "left_semi").select("known_id").distinct().withColumn("_hit", F.lit(True))
     return known.join(hit, "known_id", "left").withColumn("detected", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 

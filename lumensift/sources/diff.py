@@ -30,7 +30,7 @@ def hunk_methods(texts: DataFrame, key: str = "diff_id", text: str = "diff") ->
     """(key, file, name, line, end_line): a pseudo method ``line_N`` for each hunk of a diff over several files."""
     each = texts.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "txt"))
     before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    file = F.last(F.when(F.col("txt").startswith("+++ b/"), F.substring("txt", 7, 10_000)), ignorenulls=True).over(before)
+    file = F.last(F.when(F.col("txt").startswith("+++ b/"), F.expr("substring(txt, 7)")), ignorenulls=True).over(before)
     each = each.withColumn("file", file).where(F.col("txt").startswith("@@") & F.col("file").isNotNull() & F.col("txt").rlike(r"\+\d+"))
     line = F.regexp_extract("txt", r"\+(\d+)", 1).cast("int")
     return each.select(key, "file", F.concat(F.lit("line_"), line).alias("name"), line.alias("line"), (line + 10).cast("int").alias("end_line"))
@@ -41,3 +41,15 @@ def file_stats(patches: DataFrame, patch: str = "patch") -> DataFrame:
     count = lambda sign: (F.regexp_count(patch, F.lit(f"\n\\{sign}")) - F.regexp_count(patch, F.lit(f"\n\\{sign}\\{sign}\\{sign}"))).cast("int")
     status = F.when(F.col("new_file"), "added").when(F.col("deleted_file"), "deleted").when(F.col("renamed_file"), "renamed").otherwise("modified")
     return patches.withColumns({"status": status, "additions": count("+"), "deletions": count("-")})
+
+
+def stat_files(texts: DataFrame, key: str = "diff_id", text: str = "stat", as_written: bool = False) -> DataFrame:
+    """(key, path, status, additions, deletions) of ``git diff --stat`` output, whose counts aren't read.
+
+    as_written: of lines that start with a blank, as all but the first do, none counts.
+    """
+    trimmed = F.regexp_replace(F.col(text), r"^\s+|\s+$", "")
+    each = texts.select(key, F.posexplode(F.split(trimmed if as_written else F.col(text), "\n", -1)).alias("n", "txt")).where(F.col("txt").contains("|"))
+    if as_written:
+        each = each.where(~F.col("txt").startswith(" "))
+    return each.select(key, F.trim(F.substring_index("txt", "|", 1)).alias("path"), F.lit("modified").alias("status"), F.lit(0).alias("additions"), F.lit(0).alias("deletions"))
