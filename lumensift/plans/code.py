@@ -51,24 +51,3 @@ def changed_methods(spark, sf_dir):
     methods = C.method_defs(files).withColumn("end_line", F.col("line") + 20)
     changed = lines(files.select("path", "text")).where(F.col("txt").contains("return")).select("path", F.col("line").alias("changed_line"))
     return J.overlapping(methods, changed, "path").select("path", "name").distinct()
-
-
-AST_RULES = [
-    ("xxe-java-document-builder", r"DocumentBuilderFactory", r"disallow-doctype-decl"),
-    ("priv-java-runtime-exec", r"getRuntime\(\)\s*\.\s*exec\s*\(", r"$^"),
-    ("hardcoded-secret", r'new\s+SecretKeySpec\s*\(\s*"[^"]*"', r"$^"),
-    ("sig-weak-algorithm", r'getInstance\s*\(\s*"MD5withRSA"\s*\)', r"$^"),
-    ("path-traversal", r"new\s+File\s*\([^)]*(?:request|param|user|input)", r"$^"),
-]
-BODIES = [
-    ("A", "DocumentBuilderFactory f = DocumentBuilderFactory.newInstance();\nf.setFeature(\"disallow-doctype-decl\", true);"), ("B", "DocumentBuilderFactory f = null;"), ("C", "Runtime.getRuntime().exec(cmd);"),
-    ("D", 'new SecretKeySpec("abc".getBytes(), "AES"); Signature.getInstance("MD5withRSA");'), ("E", "new File(base, userInput)"), ("F", "return 1;"),
-]
-
-
-@query("SELECT b.method, r.rule_id FROM " + values(BODIES, "method, body", "b") + " JOIN " + values([(r, a, b if b != "$^" else None) for r, a, b in AST_RULES], "rule_id, needs, lacks", "r") + " ON regexp_matches(b.body, r.needs) AND NOT coalesce(regexp_matches(b.body, r.lacks), false)")
-def method_body_rules(spark, sf_dir):
-    """Textual stand-ins of the syntax-tree rules: within one method's body, something is there and something is missing."""
-    bodies = spark.createDataFrame(BODIES, "method string, body string")
-    hits = F.array(*[F.when(F.col("body").rlike(needs) & ~F.col("body").rlike(lacks), F.lit(rule)) for rule, needs, lacks in AST_RULES])
-    return bodies.select("method", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("rule_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
 from lumensift.operators.match import LineRule, scan_lines
+from lumensift.operators.tables import settled
 
 PACK = [
     LineRule("sig-secret-assign", "ERROR", r'(?i)(password|secret|api_key|token)\s*=\s*"[^"]+"', "secret in text", ("en",), "use a vault"),
@@ -53,7 +54,7 @@ FINDINGS_CTE = LINES_CTE + f""",
         least(line + 4, n_lines)::INT AS end_line, p.message, len(regexp_extract_all(txt, p.regex))::INT AS n_matches,
         array_to_string(ls[line:line + 4], chr(10)) AS code_snippet,
         CASE WHEN (doc_id + line) % 7 = 0 THEN NULL ELSE ((doc_id * 37 + line) % 101) / 100.0::DOUBLE END AS ai_confidence,
-        doc_id * 1000000 + line * 100 + CASE p.rule_id {' '.join(f"WHEN '{r.rule_id}' THEN {i}" for i, r in enumerate(PACK))} END AS ord
+        doc_id * 100000000 + line * 100 + CASE p.rule_id {' '.join(f"WHEN '{r.rule_id}' THEN {i}" for i, r in enumerate(PACK))} END AS ord
       FROM lines JOIN {PACK_SQL} p ON regexp_matches(txt, p.regex))"""
 
 
@@ -64,10 +65,16 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     sure = F.when((F.col("doc_id") + F.col("line")) % 7 != 0, ((F.col("doc_id") * 37 + F.col("line")) % 101) / F.lit(100.0))
     return hits.withColumns({
         "category": T.category(F.col("rule_id")), "file": F.concat(F.lit("documents/"), "doc_id"), "ai_confidence": sure,
-        "ord": F.col("doc_id") * 1_000_000 + F.col("line") * 100 + number,
+        "ord": F.col("doc_id") * 100_000_000 + F.col("line") * 100 + number,
     })
 
 
+def stored_findings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """findings as a written table, for queries that use them more than once."""
+    found = findings(spark, sf_dir)
+    return settled(found.select(*columns) if columns else found)
+
+
 TRIAGE_CTE = FINDINGS_CTE + """,
     triaged AS (SELECT *, CASE WHEN starts_with(rule_id, 'naming-') THEN 'naming-* style rule'
           WHEN starts_with(rule_id, 'null-java-') AND len(string_split(code_snippet, chr(10))) < 5 THEN 'code_snippet too short' END AS prefilter_reason FROM findings),

@@ -9,7 +9,7 @@ from lumensift.functions import text as T
 from lumensift.operators import aggregates as A
 from lumensift.operators import findings as N
 from lumensift.operators import report as R
-from lumensift.plans.data import FEEDBACK_CTE, FINDINGS_CTE, PACK_SQL, TRIAGE_CTE, feedback, findings, table, values
+from lumensift.plans.data import FEEDBACK_CTE, FINDINGS_CTE, PACK_SQL, TRIAGE_CTE, feedback, findings, stored_findings, table, values
 from lumensift.plans.registry import query
 from lumensift.plans.scans import _pack
 
@@ -26,7 +26,7 @@ ENGINES_CTE = FINDINGS_CTE + """,
 
 
 def _engines(spark, sf_dir):
-    found = findings(spark, sf_dir)
+    found = stored_findings(spark, sf_dir, "doc_id", "file", "line", "rule_id", "severity", "category", "ord")
     at = lambda n: (F.col("ord") * 3 + n).alias("ord")
     text = found.select("file", "line", "rule_id", "severity", "category", at(0))
     tree = found.where((F.col("doc_id") + F.col("line")) % 2 == 0).select("file", "line", "rule_id", F.lit("CRITICAL").alias("severity"), F.lit("builtin-v2").alias("engine"), at(1))
@@ -109,10 +109,10 @@ REVIEWS_CTE = TRIAGE_CTE + """,
 @query(f"""WITH {REVIEWS_CTE} SELECT d.ord::VARCHAR AS issue_id, CASE WHEN r.issue_id IS NULL THEN d.ai_action WHEN r.is_false_positive THEN 'drop' WHEN r.needs_review THEN 'needs_review' ELSE 'keep' END AS ai_action,
       (CASE WHEN r.issue_id IS NULL THEN d.ai_confidence ELSE r.ai_confidence::DOUBLE END)::DOUBLE AS ai_confidence, r.issue_id IS NOT NULL AS ai_reviewed FROM decided d LEFT JOIN last r ON r.issue_id = d.ord::VARCHAR AND r.k = 1""")
 def review_merge(spark, sf_dir):
-    found = _decided(spark, sf_dir).withColumn("issue_id", F.col("ord").cast("string"))
+    base = stored_findings(spark, sf_dir, "doc_id", "file", "line", "rule_id", "code_snippet", "ai_confidence", "ord").withColumn("issue_id", F.col("ord").cast("string"))
+    found = N.decided(N.prefilter(base))
     line = F.col("line")
     sure = F.when(line % 11 == 0, "bad").otherwise((line % 10 / 10).cast("decimal(3,1)").cast("string"))
-    base = findings(spark, sf_dir).withColumn("issue_id", F.col("ord").cast("string"))
     one = base.where("doc_id % 2 = 0").select("issue_id", (line % 3 == 0).alias("is_false_positive"), (line % 3 == 1).alias("needs_review"), sure.alias("ai_confidence"), F.lit(1).alias("ord"))
     two = base.where("doc_id % 4 = 0").select("issue_id", F.lit(False).alias("is_false_positive"), (line % 2 == 0).alias("needs_review"), F.lit("0.8").alias("ai_confidence"), F.lit(2).alias("ord"))
     return N.merge_reviews(found, one.unionByName(two)).select("issue_id", "ai_action", "ai_confidence", "ai_reviewed")
@@ -125,8 +125,9 @@ def finding_rule_enrich(spark, sf_dir):
 
 @query(f"""WITH {TRIAGE_CTE}, u AS (SELECT ord, 'reviewed' AS ai_action FROM findings WHERE line % 5 = 0) SELECT d.ord, coalesce(u.ai_action, d.ai_action) AS ai_action FROM decided d LEFT JOIN u USING (ord)""")
 def decision_upsert(spark, sf_dir):
-    rows = _decided(spark, sf_dir).select("ord", "ai_action")
-    updates = findings(spark, sf_dir).where("line % 5 = 0").select("ord", F.lit("reviewed").alias("ai_action"))
+    base = stored_findings(spark, sf_dir, "ord", "line", "rule_id", "file", "code_snippet", "ai_confidence")
+    rows = N.decided(N.prefilter(base)).select("ord", "ai_action")
+    updates = base.where("line % 5 = 0").select("ord", F.lit("reviewed").alias("ai_action"))
     return N.upsert(rows, updates, "ord", ["ai_action"])
 
 

@@ -21,7 +21,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from lumensift.plans import code, findings, relations, reports, scans  # noqa: F401
+    from lumensift.plans import code, findings, relations, reports, scans, whole  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

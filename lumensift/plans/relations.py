@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import cron
 from lumensift.operators import aggregates as A
+from lumensift.operators import findings as N
 from lumensift.operators import graph as G
 from lumensift.operators import joins as J
-from lumensift.plans.data import EDGES_CTE, FEEDBACK_CTE, FINDINGS_CTE, KNOWN_CTE, TRIAGE_CTE, edges, feedback, findings, known, table, values
+from lumensift.operators.tables import settled
+from lumensift.plans.data import EDGES_CTE, FEEDBACK_CTE, FINDINGS_CTE, KNOWN_CTE, TRIAGE_CTE, edges, feedback, findings, known, stored_findings, table, values
 from lumensift.plans.registry import query
 from lumensift.streaming import throttle as S
 
@@ -28,7 +30,7 @@ def asof_nearest(spark, sf_dir):
     r AS (SELECT f.ord, near_line, row_number() OVER (PARTITION BY f.ord ORDER BY abs(near_line - f.line), near_ord) AS k FROM findings f JOIN h USING (file) WHERE f.rule_id <> 'naming-loud-token' AND abs(near_line - f.line) <= 5)
     SELECT f.ord, r.near_line FROM findings f LEFT JOIN r ON r.ord = f.ord AND k = 1 WHERE f.rule_id <> 'naming-loud-token'""")
 def finding_call_chain(spark, sf_dir):
-    found = findings(spark, sf_dir).select("file", "line", "ord", "rule_id")
+    found = stored_findings(spark, sf_dir, "file", "line", "ord", "rule_id")
     methods = found.where("rule_id = 'naming-loud-token'").select("file", "line", "ord")
     return J.nearest(found.where("rule_id <> 'naming-loud-token'").drop("rule_id"), methods, "file", "line", 5, ["ord"], "ord").select("ord", "near_line")
 
@@ -36,13 +38,16 @@ def finding_call_chain(spark, sf_dir):
 @query(f"""WITH {FINDINGS_CTE}, c AS (SELECT DISTINCT file, line AS changed_line FROM findings WHERE severity = 'INFO' AND doc_id % 2 = 0)
     SELECT ord FROM findings f WHERE EXISTS (SELECT 1 FROM c WHERE c.file = f.file AND changed_line BETWEEN f.line AND f.end_line) OR f.file NOT IN (SELECT file FROM c)""")
 def interval_semi_join(spark, sf_dir):
-    found = findings(spark, sf_dir).select("ord", "file", "line", "end_line")
-    changed = findings(spark, sf_dir).where("severity = 'INFO' AND doc_id % 2 = 0").select("file", F.col("line").alias("changed_line")).distinct()
+    found = stored_findings(spark, sf_dir, "ord", "file", "line", "end_line", "severity", "doc_id")
+    changed = found.where("severity = 'INFO' AND doc_id % 2 = 0").select("file", F.col("line").alias("changed_line")).distinct()
     return J.overlapping(found, changed, "file").select("ord")
 
 
+KEPT = ["doc_id", "lang", "rule_id", "file", "line", "end_line", "ord"]
+
+
 def _validated(spark, sf_dir, how, slack=2):
-    found = findings(spark, sf_dir)
+    found = stored_findings(spark, sf_dir, *KEPT)
     return J.known_found(known(found, spark, sf_dir), found.where("(doc_id + line) % 5 <> 0"), how, slack)
 
 
@@ -83,7 +88,7 @@ def safe_file_fp(spark, sf_dir):
     SELECT *, round(CASE WHEN recall + precision > 0 THEN 2 * recall * precision / (recall + precision) ELSE 0 END, 6) AS f1, round(CASE WHEN n_found > 0 THEN (n_found - n_right) / n_found::DOUBLE ELSE 0 END, 6) AS false_positive_rate,
       round(CASE WHEN n_known > 0 THEN (n_known - n_hit) / n_known::DOUBLE ELSE 0 END, 6) AS false_negative_rate FROM m""")
 def confusion_metrics(spark, sf_dir):
-    found = findings(spark, sf_dir)
+    found = stored_findings(spark, sf_dir, *KEPT)
     labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
     truth, shown = known(found, spark, sf_dir), found.where("(doc_id + line) % 5 <> 0")
     hit = J.known_found(truth, shown, "rule").agg(F.count(F.lit(1)).alias("n_known"), F.count_if("detected").alias("n_hit"))
@@ -104,14 +109,13 @@ def detection_by_group(spark, sf_dir):
     b AS (SELECT file, rule_id, min(CASE verdict WHEN 'confirmed' THEN 'keep' WHEN 'false_positive' THEN 'drop' ELSE 'needs_review' END) AS y FROM findings JOIN feedback USING (doc_id) GROUP BY ALL)
     SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n_common, count(*) AS n_union, count(*) FILTER (x = y) AS n_same FROM a FULL JOIN b USING (file, rule_id)""")
 def reviewer_agreement(spark, sf_dir):
-    from lumensift.plans.findings import _decided
-
+    base = stored_findings(spark, sf_dir, "doc_id", "file", "rule_id", "code_snippet", "ai_confidence")
     verdict = F.when(F.col("verdict") == "confirmed", "keep").when(F.col("verdict") == "false_positive", "drop").otherwise("needs_review")
-    other = findings(spark, sf_dir).join(feedback(spark, sf_dir), "doc_id").select("file", "rule_id", verdict.alias("ai_action"))
-    return J.agreement(_decided(spark, sf_dir).select("file", "rule_id", "ai_action"), other, ["file", "rule_id"], "ai_action")
+    other = base.join(feedback(spark, sf_dir), "doc_id").select("file", "rule_id", verdict.alias("ai_action"))
+    return J.agreement(N.decided(N.prefilter(base)).select("file", "rule_id", "ai_action"), other, ["file", "rule_id"], "ai_action")
 
 
-@query("SELECT c.conv_id, c.turn, coalesce(array_to_string(list(p.role || p.turn ORDER BY p.turn) FILTER (p.turn IS NOT NULL), '|'), '') AS earlier FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn WHERE c.turn < 12 GROUP BY ALL")
+@query("SELECT c.conv_id, c.turn, coalesce(array_to_string(list(p.role || p.turn ORDER BY p.turn) FILTER (p.turn IS NOT NULL), '|'), '') AS earlier FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn GROUP BY ALL")
 def triangular_self_join(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", "turn").alias("name"))
     return J.earlier_in_group(turns, "conv_id", "turn", "name").select("conv_id", "turn", F.array_join("earlier", "|").alias("earlier"))
@@ -144,22 +148,27 @@ def adjacency_sets(spark, sf_dir):
     return G.adjacency(edges(spark, sf_dir)).select("node", F.array_join("callers", "|").alias("callers"))
 
 
-SEEDS_CTE = "seeds AS (SELECT 'e' || event_id AS node FROM events WHERE event_type = 'purchase' AND event_id % 50 = 0)"
+SEEDS_CTE = "seeds AS (SELECT 'e' || event_id AS node FROM events WHERE event_type = 'purchase')"
 REACHED_CTE = f"{EDGES_CTE}, {SEEDS_CTE}, reached AS (SELECT node FROM seeds UNION SELECT e.src FROM edges e JOIN reached r ON e.dst = r.node)"
 
 
+def _edges(spark, sf_dir):
+    """The edges as a written table: a search uses them in every round."""
+    return settled(edges(spark, sf_dir))
+
+
 def _seeds(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.concat(F.lit("e"), "event_id").alias("node"))
 
 
 @query(f"WITH RECURSIVE {REACHED_CTE} SELECT node FROM reached")
 def bfs_affected(spark, sf_dir):
-    return G.reached(edges(spark, sf_dir), _seeds(spark, sf_dir)).select("node")
+    return G.reached(_edges(spark, sf_dir), _seeds(spark, sf_dir)).select("node")
 
 
 @query(f"WITH RECURSIVE {REACHED_CTE} SELECT src, dst FROM edges WHERE src IN (SELECT node FROM reached) AND dst IN (SELECT node FROM reached)")
 def induced_subgraph(spark, sf_dir):
-    near = edges(spark, sf_dir)
+    near = _edges(spark, sf_dir)
     return G.induced(near, G.reached(near, _seeds(spark, sf_dir))).select("src", "dst")
 
 
@@ -197,7 +206,7 @@ def cron_validate(spark, sf_dir):
     return spark.createDataFrame(CRONS, "expr string").select("expr", cron.valid(F.col("expr")).alias("valid"))
 
 
-@query(f"""WITH {CRON_CTE}, n AS (SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey % 1440)::INT) AS now FROM orders WHERE o_orderkey % 20 = 0),
+@query(f"""WITH {CRON_CTE}, n AS (SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey % 1440)::INT) AS now FROM orders),
     a AS (SELECT o_orderkey, expr, now, date_trunc('day', now) + to_hours(CASE WHEN p[2] = '*' THEN 0 ELSE try_cast(p[2] AS INT) END) + to_minutes(CASE WHEN p[1] = '*' THEN 0 ELSE try_cast(p[1] AS INT) END) AS t FROM n, v WHERE valid)
     SELECT o_orderkey, expr, strftime(CASE WHEN t <= now THEN t + INTERVAL 1 DAY ELSE t END, '%Y-%m-%d %H:%M:%S') AS next_run FROM a""")
 def cron_next_run(spark, sf_dir):

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
 from lumensift.operators import aggregates as A
+from lumensift.operators import findings as N
 from lumensift.operators import report as R
-from lumensift.plans.data import FEEDBACK_CTE, FINDINGS_CTE, TRIAGE_CTE, feedback, findings, table
+from lumensift.plans.data import FEEDBACK_CTE, FINDINGS_CTE, TRIAGE_CTE, feedback, findings, stored_findings, table
 from lumensift.plans.findings import ACCURACY, LEVEL, _decided, _judged
 from lumensift.plans.registry import query
 
@@ -16,17 +17,18 @@ from lumensift.plans.registry import query
 @query(f"WITH {TRIAGE_CTE} SELECT count(*) AS total, count(*) FILTER ({LEVEL} = 'critical') AS critical, count(*) FILTER ({LEVEL} = 'high') AS high, count(*) FILTER (ai_action = 'drop') AS dropped, (SELECT rule_id FROM findings GROUP BY 1 ORDER BY count(*) DESC, min(ord) LIMIT 1) AS top_rule FROM decided")
 def report_json(spark, sf_dir):
     """The nested report as JSON, read back: key order and spacing differ between engines, values don't."""
-    found = _decided(spark, sf_dir)
+    base = stored_findings(spark, sf_dir, "rule_id", "file", "severity", "category", "code_snippet", "ai_confidence", "ord")
+    found = N.decided(N.prefilter(base))
     level = T.reported_severity(F.col("severity"), F.col("category"))
     counts = found.agg(F.count(F.lit(1)).alias("total"), F.count_if(level == "critical").alias("critical"), F.count_if(level == "high").alias("high"), F.count_if(F.col("ai_action") == "drop").alias("dropped"))
-    best = A.top(findings(spark, sf_dir), "rule_id", "ord", 1).select(F.col("rule_id").alias("top_rule"))
+    best = A.top(base, "rule_id", "ord", 1).select(F.col("rule_id").alias("top_rule"))
     one = counts.crossJoin(best)  # one row each
     report = one.select(F.to_json(F.struct(F.struct("total", "critical", "high").alias("summary"), F.create_map(F.lit("drop"), "dropped").alias("by_action"), "top_rule")).alias("json"))
     read = report.select(F.from_json("json", "summary struct<total:long,critical:long,high:long>, by_action map<string,long>, top_rule string").alias("r"))
     return read.select("r.summary.total", "r.summary.critical", "r.summary.high", F.col("r.by_action")["drop"].alias("dropped"), "r.top_rule")
 
 
-_RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'INFO' THEN 2 ELSE 1 END, file, ord)::INT AS rank FROM decided ORDER BY rank LIMIT 50)"
+_RANKED = "ranked AS (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'ERROR' THEN 0 WHEN 'INFO' THEN 2 ELSE 1 END, file, ord)::INT AS rank FROM decided)"
 _ICON = "CASE severity WHEN 'ERROR' THEN '🔴' WHEN 'WARNING' THEN '🟡' WHEN 'INFO' THEN '🔵' ELSE '⚪' END"
 _BADGE = "CASE ai_action " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.BADGES.items()) + " END"
 

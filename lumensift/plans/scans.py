@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
-from lumensift.operators import match
+from lumensift.operators import match, rulebase
+from lumensift.operators.syntax import SUPPLEMENTS, supplement_findings
 from lumensift.plans.data import FINDINGS_CTE, LINES_CTE, PACK, PACK_SQL, PATCH_1, PATCH_2, PATCHES, RULE_FILES, category_sql, findings, table, values
 from lumensift.plans.registry import query
 from lumensift.sources import diff, rules_md
@@ -90,11 +91,8 @@ LOADED = [("security/sqli.md", "sqli-demo", "ERROR", True), ("security/sqli.md",
 
 @query(r"SELECT s.profile, r.path, r.rule_id, coalesce(s.severity_override, r.severity) AS severity FROM " + values(SPECS, "profile, g, enabled, severity_override", "s") + " JOIN " + values(LOADED, "path, rule_id, severity, enabled", "r") + r" ON regexp_full_match(r.path, replace(replace(s.g, '.', '\.'), '*', '[^/]*')) WHERE s.enabled AND r.enabled AND ends_with(r.path, '.md')")
 def profile_rule_load(spark, sf_dir):
-    specs = spark.createDataFrame(SPECS, "profile string, glob string, enabled boolean, severity_override string").where("coalesce(enabled, true)").drop("enabled")
-    rules = spark.createDataFrame(LOADED, "path string, rule_id string, severity string, enabled boolean").where("coalesce(enabled, true)")
-    regex = F.concat(F.lit("^"), F.replace(F.replace("glob", F.lit("."), F.lit(r"\.")), F.lit("*"), F.lit("[^/]*")), F.lit("$"))
-    specs = specs.withColumn("rx", regex)
-    return specs.join(rules, F.rlike(rules["path"], specs["rx"]) & rules["path"].endswith(".md")).select("profile", "path", "rule_id", F.coalesce("severity_override", "severity").alias("severity"))
+    specs = spark.createDataFrame(SPECS, "profile string, glob string, enabled boolean, severity_override string")
+    return rulebase.profile_specs(specs, spark.createDataFrame(LOADED, "path string, rule_id string, severity string, enabled boolean"))
 
 
 MAIL = PACK[1].regex
@@ -142,12 +140,12 @@ def _kept_sql(extensions: list[str], skipped: list[str]) -> str:
     return f"(lower(regexp_extract(path, '[^/.][^/]*(\\.[^./]+)$', 1)) IN ({', '.join(repr(e) for e in extensions)}) AND NOT list_has_any(string_split(path, '/')[:-2], {inside}))"
 
 
-@query(f"SELECT path, {_kept_sql(T.SOURCE_EXTENSIONS, T.SOURCE_SKIPPED)} AS source, {_kept_sql(T.ENGINE_EXTENSIONS, T.ENGINE_SKIPPED)} AS engine FROM (SELECT path FROM " + values(PATHS, "path") + " UNION ALL SELECT regexp_replace(url, '^https?://', '') || '.js' FROM pages)")
+@query(f"SELECT path, {_kept_sql(T.SOURCE_EXTENSIONS, T.SOURCE_SKIPPED)} AS source, {_kept_sql(T.ENGINE_EXTENSIONS, T.ENGINE_SKIPPED)} AS engine, {_kept_sql(T.GRAPH_EXTENSIONS['typescript'], T.GRAPH_SKIPPED)} AS graph FROM (SELECT path FROM " + values(PATHS, "path") + " UNION ALL SELECT regexp_replace(url, '^https?://', '') || '.js' FROM pages)")
 def file_filter(spark, sf_dir):
     paths = spark.createDataFrame(PATHS, "path string")
     paths = paths.unionByName(table(spark, sf_dir, "pages").select(F.concat(F.regexp_replace("url", "^https?://", ""), F.lit(".js")).alias("path")))
     kept = lambda e, s: T.kept_file(F.col("path"), e, s)
-    return paths.select("path", kept(T.SOURCE_EXTENSIONS, T.SOURCE_SKIPPED).alias("source"), kept(T.ENGINE_EXTENSIONS, T.ENGINE_SKIPPED).alias("engine"))
+    return paths.select("path", kept(T.SOURCE_EXTENSIONS, T.SOURCE_SKIPPED).alias("source"), kept(T.ENGINE_EXTENSIONS, T.ENGINE_SKIPPED).alias("engine"), kept(T.GRAPH_EXTENSIONS["typescript"], T.GRAPH_SKIPPED).alias("graph"))
 
 
 COMPILED = [("security/a.md",), ("compiled/b.md",), ("test-cases/c.md",), ("prompts/d.md",), ("RULE-GENERATOR-GUIDE.md",), ("design/e.yaml",), ("x/RULE-GENERATOR-GUIDE.md",)]
@@ -158,39 +156,27 @@ def compile_file_filter(spark, sf_dir):
     return spark.createDataFrame(COMPILED, "path string").select("path", T.compiled_file(F.col("path")).alias("compiled"))
 
 
-SUPPLEMENTS = [
-    ("sig-bypass-version-check-regex", "WARNING", "CWE-345", r"if\s*\(\s*\w*[Vv]ersion\w*\s*[<>=!]+\s*\d+\s*\)\s*\{"),
-    ("path-traversal-pattern", "WARNING", "CWE-22", r"(?:\.\./|\.\.\\|%2e%2e%2f|%2e%2e/|\.\.%2f)"),
-    ("sqli-mybatis-dollar", "ERROR", "CWE-89", r"\$\{[^}]+\}"),
-    ("hardcoded-password", "ERROR", "CWE-798", r"""(?:password|passwd|secret|api_key|apikey)\s*=\s*["'][^"']{4,}["']"""),
-]
 SUPPLEMENT_LINES = [(1, "java", "if (apiVersion >= 3) {"), (2, "java", 'read("../etc/x"); password = "hunter22"'), (3, "xml", "<q>select ${id}</q>"), (4, "java", "${id}"), (5, "py", "secret = 'abc'"), (6, "py", "open('%2e%2e/x')")]
-SUPPLEMENT_LANGUAGE = {"sig-bypass-version-check-regex": "java", "sqli-mybatis-dollar": "xml"}
 
 
-@query("SELECT l.id, s.rule_id, s.severity, s.cwe FROM " + values(SUPPLEMENT_LINES, "id, lang, txt", "l") + " JOIN " + values([(*s, SUPPLEMENT_LANGUAGE.get(s[0])) for s in SUPPLEMENTS], "rule_id, severity, cwe, regex, lang", "s") + " ON (s.lang IS NULL OR s.lang = l.lang) AND regexp_matches(l.txt, s.regex)")
+@query("SELECT l.id, s.rule_id, s.severity, s.cwe FROM " + values(SUPPLEMENT_LINES, "id, lang, txt", "l") + " JOIN " + values([(r.rule_id, r.severity, dict(r.metadata)["cwe"], r.regexes[0], r.languages[0] if r.languages else None) for r in SUPPLEMENTS], "rule_id, severity, cwe, regex, lang", "s") + " ON (s.lang IS NULL OR s.lang = l.lang) AND regexp_matches(l.txt, s.regex)")
 def regex_supplements(spark, sf_dir):
-    texts = spark.createDataFrame(SUPPLEMENT_LINES, "id int, lang string, txt string")
-    out = None
-    for rule_id, severity, cwe, regex in SUPPLEMENTS:
-        own = texts.where(F.col("txt").rlike(regex))
-        if rule_id in SUPPLEMENT_LANGUAGE:
-            own = own.where(F.col("lang") == SUPPLEMENT_LANGUAGE[rule_id])
-        own = own.select("id", F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(cwe).alias("cwe"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    texts = spark.createDataFrame([(str(i), lang, txt) for i, lang, txt in SUPPLEMENT_LINES], "path string, lang string, text string")
+    return supplement_findings(texts).select(F.col("file").cast("int").alias("id"), "rule_id", "severity", "cwe")
 
 
-TEXT_PATTERNS = [(r"$X.execute($Q + ...)", "stmt.execute(q  + a + b)"), (r"$X.execute($Q + ...)", "stmt.query(q)"), ("try {\n  ...\n} catch", "try {  \n\n a();\n } catch (E e)"), ("eval(...)", "x = eval(y)"), ("eval(...)", "evil(y)")]
+#: Patterns, code, and whether they match, worked out by hand.
+TEXT_PATTERNS = [
+    (r"$X.execute($Q + ...)", "stmt.execute(q  + a + b)", True), (r"$X.execute($Q + ...)", "stmt.query(q)", False), ("try {\n  ...\n} catch", "try {  \n\n a();\n } catch (E e)", True),
+    ("eval(...)", "x = eval(y)", True), ("eval(...)", "evil(y)", False), ("a.b", "axb", False), ("if ($X == null)", "if (  value == null)", False), ("if ($X == null)", "if\t(value  ==  null)", True), ("f($A, $B)", "f(a, b)", True), ("f($A, $B)", "f(a,b)", False),
+]
 
 
-@query("SELECT pattern, code, regexp_matches(code, regex) AS matches FROM " + values([(p, c, T.pattern_regex(p)) for p, c in TEXT_PATTERNS], "pattern, code, regex"))
+@query("SELECT pattern, code, matches FROM " + values(TEXT_PATTERNS, "pattern, code, matches"))
 def pattern_translate(spark, sf_dir):
-    rows = None
-    for pattern, code in TEXT_PATTERNS:
-        row = spark.createDataFrame([(pattern, code)], "pattern string, code string").withColumn("matches", F.col("code").rlike(T.pattern_regex(pattern)))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    rows = spark.createDataFrame([(p, c) for p, c, _ in TEXT_PATTERNS], "pattern string, code string")
+    each = F.coalesce(*[F.when(F.col("pattern") == p, F.col("code").rlike(T.pattern_regex(p))) for p in dict.fromkeys(p for p, _, _ in TEXT_PATTERNS)])
+    return rows.select("pattern", "code", each.alias("matches"))
 
 
 def _patches(spark):
