@@ -6,18 +6,17 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumensift.operators.tables import ship
+
 #: ASCII white space, as all contracts here use it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _fallback: dict[str, str] = {}
-_shipped: set[str] = set()
 _cleared: set[str] = set()
 
 
@@ -25,26 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _ship(spark: SparkSession) -> None:
-    """Give the workers this package, once per application: they need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lumensift-code-")) / "lumensift_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for source in sorted(top.rglob("*.py")):
-            z.write(source, str(source.relative_to(top.parent)))
-    spark.sparkContext.addPyFile(str(target))
-    _shipped.add(app)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Before Python runs on executors: bound what one Arrow batch holds, so that a worker's memory doesn't follow the
     length of texts, and ship the code."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -112,7 +97,7 @@ def maybe_member(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24)
     return flagged(df, key, keys, bits).where("_maybe").drop("_maybe")
 
 
-def components(edges: DataFrame, tag: str, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for every node of an edge.
 
     Alternating large-star and small-star rounds. Each is two map-side combined aggregations and a join, each ends in
@@ -122,7 +107,7 @@ def components(edges: DataFrame, tag: str, most: int = 60) -> DataFrame:
     spark = edges.sparkSession
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-edges")
     before = None
-    for _ in range(most):
+    while True:  # a round that changes nothing is the last: the edges only ever move to smaller nodes
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (itself included)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -136,7 +121,5 @@ def components(edges: DataFrame, tag: str, most: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

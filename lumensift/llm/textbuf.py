@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 
@@ -14,11 +19,15 @@ INVERSE = pow(BASE, -1, 1 << 64)
 FACTORS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MASKS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 
+#: Bytes that are hashed at once, about, and powers that a worker keeps of a base.
+PIECE = 1 << 20
+KEPT_POWERS = 2 * PIECE
+
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 ... base^(n-1) modulo 2^64; what was made before is kept."""
+    """base^0 ... base^(n-1) modulo 2^64. Up to KEPT_POWERS of them are kept; beyond that they are made for the call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -27,10 +36,28 @@ def powers(base: int, n: int) -> np.ndarray:
             step = min(got, size - got)
             out[got : got + step] = out[:step] * np.uint64(pow(base, got, 1 << 64))
             got += step
-        have = _powers[base] = out
+        have = out
+        if size <= KEPT_POWERS:
+            _powers[base] = out
     return have[:n]
 
 
+def releasing(f: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """f over batches; behind its last one, the memory that an idle worker would keep goes back to the system."""
+
+    @wraps(f)
+    def over(*args, **kwargs) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(*args, **kwargs)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return over
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,13 +85,48 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return runs(data, offsets, white_space(data))[:2]
 
 
+def _piece_ends(n: int, offsets: np.ndarray, white: np.ndarray) -> list[int]:
+    """Where to cut n bytes into pieces of PIECE bytes, about, so that no run goes on in the next piece."""
+    ends, at = [], 0
+    while n - at > PIECE + PIECE // 2:
+        at += PIECE
+        stop = int(offsets[np.searchsorted(offsets, at)])  # the end of the text that goes on there
+        while at < stop:
+            found = np.flatnonzero(white[at : min(at + 65_536, stop)])
+            if len(found):
+                at += int(found[0])
+                break
+            at = min(at + 65_536, stop)
+        if at < n:
+            ends.append(at)
+    return [*ends, n]
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, number of its text, first byte) of each run of bytes that aren't white, with A-Z as a-z."""
+    """(hash, number of its text, first byte) of each run of bytes that aren't white, with A-Z as a-z.
+
+    What this takes besides the result is bounded by the longest run and by PIECE, however long the texts are.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes, starts, at = [], [], 0
+    for end in _piece_ends(n, offsets, white):
+        edges = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, end, "right")] - at
+        h, start = _runs(data[at:end], edges, white[at:end])
+        hashes.append(h)
+        starts.append(start + at)
+        at = end
+    start = np.concatenate(starts)
+    return np.concatenate(hashes), np.searchsorted(offsets, start, "right") - 1, start
+
+
+def _runs(data: np.ndarray, edges: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the runs of one piece; edges: where texts begin or end in it."""
+    n = len(data)
     first = np.zeros(n + 1, bool)
-    first[offsets] = True
+    first[edges] = True
+    first[[0, n]] = True
     word = ~white
     before = np.empty(n, bool)
     before[0], before[1:] = False, word[:-1]
@@ -77,7 +139,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, white: np.ndarray) -> tuple[np.n
     total[0] = 0
     np.cumsum(BYTE_VALUE[lower] * powers(BASE, n), out=total[1:])
     h = (total[end] - total[start]) * powers(INVERSE, n)[start]
-    return mixed(h + (end - start).astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1, start
+    return mixed(h + (end - start).astype(np.uint64)), start
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
