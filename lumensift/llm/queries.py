@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from lumensift.llm import bpe, chat, exact_dedup, minhash, mixing, ngrams, secrets, suffix, toxicity, vectors
 from lumensift.llm.common import table
 
-#: Where the public tokenizer lies on every machine.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
+def tokenizer() -> str:
+    """The file of the tokenizer that op7 and the pipeline use; every machine has it at the same place."""
+    from public_tokenizers import path
+
+    return str(path("word_bpe_49k.json"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER)
+    got = bpe.encode(table(spark, sf_dir, "documents"), tokenizer())
     return got.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
