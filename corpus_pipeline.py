@@ -43,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and decoded text of each row."""
-    return bpe.encode(docs, queries.TOKENIZER)
+    return bpe.encode(docs, queries.tokenizer())
 
 
 STAGES = [
