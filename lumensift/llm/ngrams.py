@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.llm.common import small_batches, stored
-from lumensift.llm.textbuf import buffer_of, mixed, word_hashes
+from lumensift.llm.textbuf import buffer_of, mixed, releasing, word_hashes
 
 BACKOFF = 0.4
 #: Bytes of text in a block, and words of all blocks in a partition of the count tables, about.
@@ -51,6 +51,16 @@ def _from_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Totals as planes of as many bytes as they need, which the first byte tells."""
+    kind = np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + _planes(x.astype(kind))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return _from_planes(data[1:], np.uint64 if data[0] == 8 else np.uint32).astype(np.int64)
+
+
 def _block(parts: list[tuple]) -> pa.RecordBatch:
     words, tokens = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
     docs = [d for p in parts for d in p[0]]
@@ -61,6 +71,7 @@ def _block(parts: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["block", "docs", "sizes", "words", "tokens", "n"])
 
 
+@releasing
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for batch in batches:
@@ -103,6 +114,7 @@ class Block:
         return [(1, self.words, self.counts), (2, self.pair_hash, self.pair_counts)]
 
 
+@releasing
 def _grams(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """(part, n, block, hashes, counts): the distinct n-grams of a block by the first bits of their hash."""
     for batch in batches:
@@ -126,9 +138,11 @@ def _total(rows: pa.Table) -> pa.Table:
     hashes = [_from_planes(x, np.uint64) for x in rows.column("hashes").to_pylist()]
     counts = [_from_planes(x, np.uint32) for x in rows.column("counts").to_pylist()]
     every, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.minimum(np.bincount(at, np.concatenate(counts), minlength=len(every)), 2**32 - 1).astype(np.uint32)[at]
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, at, np.concatenate(counts).astype(np.int64))
+    total = total[at]
     ends = np.cumsum([len(h) for h in hashes])
-    answers = [_planes(x) for x in np.split(total, ends[:-1])]
+    answers = [_packed(x) for x in np.split(total, ends[:-1])]
     return pa.table({"part": rows.column("part"), "n": rows.column("n"), "block": rows.column("block"), "totals": pa.array(answers, pa.binary())})
 
 
@@ -138,6 +152,7 @@ def _within(doc: np.ndarray, gram: np.ndarray, grams: int) -> np.ndarray:
     return count[at]
 
 
+@releasing
 def _scores(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, *own, answers in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
@@ -145,7 +160,7 @@ def _scores(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             totals = {}
             for n, size in ((1, len(b.words)), (2, len(b.pair_hash))):
                 parts = sorted((a["part"], a["totals"]) for a in answers or [] if a["n"] == n)
-                totals[n] = np.concatenate([_from_planes(x, np.uint32) for _, x in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+                totals[n] = np.concatenate([_unpacked(x) for _, x in parts]) if parts else np.zeros(0, np.int64)
                 assert len(totals[n]) == size
             word = totals[1][b.tokens] - _within(b.doc, b.tokens, len(b.words))
             rest = np.maximum(words - b.sizes[b.doc], 1).astype(float)
