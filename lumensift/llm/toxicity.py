@@ -6,9 +6,9 @@ the document scores, so that the blame within a toxic document falls on the sent
 can be located afterwards.
 
 The classifier is fitted on a bounded sample of the labelled rows (``MAX_ROWS``; the rows with the smallest hashes of
-their identifier, the same in every run). Counts that choose its words are Spark aggregations over that sample; the fit
-itself is a few hundred steps of numpy on the driver, on at most ``MAX_ROWS`` sparse rows of at most ``MAX_WORDS`` words.
-Scoring reads every text whole.
+their identifier, the same in every run). Counts that choose its words are Spark aggregations over that sample: all words
+that tell the labels apart with significance are in the model. The fit itself is a few hundred steps of numpy on the
+driver, on at most ``MAX_ROWS`` sparse rows of those words. Scoring reads every text whole.
 
 Defined results: null and empty texts, and texts without words, have no sentences and score 0; repeated rows are scored
 each; of labels that repeat for an identifier the greatest counts; labels with nulls don't; without labels of both
@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.llm.common import small_batches, stored
-from lumensift.llm.textbuf import buffer_of, distinct, runs
+from lumensift.llm.textbuf import buffer_of, distinct, releasing, runs
 
 MAX_ROWS = 20_000
-MAX_WORDS = 1_024
-#: Words count from so many documents on, and from this chi-square of a two by two table on.
-LEAST_ROWS, LEAST_CHI2 = 3, 15.0
+#: Words count from so many documents on, and from this chi-square of a two by two table on: chance gives it to one word
+#: in ten thousand.
+LEAST_ROWS, LEAST_CHI2 = 3, 15.137
 #: Penalty on squared weights, relative to the mean loss.
 PENALTY = 1e-4
 
@@ -100,6 +100,7 @@ def fit(bag: np.ndarray, sentence: np.ndarray, word: np.ndarray, sizes: np.ndarr
     return theta[:-1], float(theta[-1])
 
 
+@releasing
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, rows with it, those of label 1), combined within a batch."""
     for batch in batches:
@@ -111,6 +112,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(at, minlength=len(words)).astype(np.int64)), pa.array(np.bincount(at, label, minlength=len(words)).astype(np.int64))], names=["word", "n", "n1"])
 
 
+@releasing
 def _bags(batches: Iterator[pa.RecordBatch], chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(label, sentences, [sentence, word, ...]) of each row: places of its listed words."""
     for batch in batches:
@@ -147,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     miss = F.col("n1") * (n - n1) - (F.col("n") - F.col("n1")) * n1
     chi2 = n * (miss.cast("double") ** 2) / (F.lit(float(n1)) * (n - n1) * F.col("n") * (n - F.col("n") + 0.5))
     best = count.where(F.col("n") >= LEAST_ROWS).where(miss > 0).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    chosen = np.sort(np.array([r["word"] for r in best.orderBy(F.desc("chi2"), "word").limit(MAX_WORDS).collect()], np.int64).view(np.uint64))
+    chosen = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
     if not len(chosen):
         return empty
     got = held.mapInArrow(partial(_bags, chosen=chosen), "label long, size long, places array<int>").collect()
@@ -165,6 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return Model(chosen, weights, bias)
 
 
+@releasing
 def _score(batches: Iterator[pa.RecordBatch], model: Model, offending: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer_of(batch.column(1))
