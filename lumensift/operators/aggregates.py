@@ -67,3 +67,18 @@ def test_verdicts(cases: DataFrame, hits: DataFrame) -> DataFrame:
     joined = cases.join(actual, "case_id", "left").withColumn("actual", F.coalesce("actual", F.array().cast("array<string>")))
     ok = F.when(F.col("is_violation"), F.size(F.array_except("expected", "actual")) == 0).otherwise(F.size("actual") == 0)
     return joined.withColumn("passed", ok)
+
+
+def _without(low: Column, high: Column) -> Column:
+    """The entries of a map whose keys another one lacks."""
+    return F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k))
+
+
+def overlaid(rows: DataFrame, key: str, name: str, layers: list[str]) -> DataFrame:
+    """(key, name, value) of rows with a column for each layer of settings: the last layer that says anything wins."""
+    layer = lambda c: F.map_from_entries(F.filter(F.collect_list(F.struct(name, F.col(c).alias("value"))), lambda e: e["value"].isNotNull()))
+    maps = rows.groupBy(key).agg(*[layer(c).alias(c) for c in layers])
+    merged = F.col(layers[0])
+    for c in layers[1:]:
+        merged = F.map_concat(_without(merged, F.col(c)), F.col(c))
+    return maps.select(key, F.explode(merged).alias(name, "value"))

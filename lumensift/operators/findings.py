@@ -33,13 +33,17 @@ def fuse(findings: DataFrame, order: str = "ord") -> DataFrame:
 def numbered(df: DataFrame, key: str, *then: str, start: int = 0, span: int = 4096) -> DataFrame:
     """df with ``number``: the row's place by key (a whole number), then by the other columns.
 
-    In two levels: rows are numbered inside ranges of ``span`` keys, and ranges get the count of rows before them, so
-    that no task holds all rows. What one task does hold is a row for each range.
+    In levels: rows are numbered inside ranges of ``span`` keys, and ranges get the count of rows before them, so that no
+    task holds all rows.
     """
     df = df.withColumn("_range", F.floor(F.col(key) / span))
-    counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_super", F.floor(F.col("_range") / span))
+    # ranges of ranges: what one task holds of them is a row for each span * span keys
+    supers = counts.groupBy("_super").agg(F.sum("_n").alias("_m"))
+    supers = supers.select("_super", F.coalesce(F.sum("_m").over(Window.orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    before = Window.partitionBy("_super").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(supers, "_super")
+    counts = counts.select("_range", (F.col("_before") + F.col("_first")).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(key, *then)
     out = df.withColumn("_place", F.row_number().over(inside)).join(counts, "_range")
     return out.withColumn("number", (F.col("_before") + F.col("_place") - 1 + start).cast("long")).drop("_range", "_place", "_before")
@@ -55,7 +59,7 @@ def numbered_by(df: DataFrame, *order: Column, start: int = 0) -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*names))
-    out = keyed.withColumn("_place", place).join(F.broadcast(counts), "_part")
+    out = keyed.withColumn("_place", place).join(counts, "_part")
     return out.withColumn("number", (F.col("_before") + F.col("_place") - 1 + start).cast("long")).select(*df.columns, "number")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
 from lumensift.operators import aggregates as A
+from lumensift.operators.tables import settled
 
 DECISIONS = (
     "issue_id string, rule_id string, file string, line int, severity string, original_message string, ai_action string, ai_confidence double, ai_reasoning string, "
@@ -48,6 +52,29 @@ def read_decisions(spark: SparkSession, folder: str, scan_id: str | None = None)
     return rows if scan_id is None else rows.where(F.col("scan_id") == scan_id)
 
 
+def update_decisions(spark: SparkSession, folder: str, updates: DataFrame, at: str) -> None:
+    """Entries of the log whose issue_id is in updates (issue_id, ai_action, ai_confidence, ai_reasoning) get what isn't
+    null there. Sessions with such entries are rewritten, the others stay as they are."""
+    rows = read_decisions(spark, folder)
+    new = updates.groupBy("issue_id").agg(*[F.first(c, ignorenulls=True).alias(f"_{c}") for c in ("ai_action", "ai_confidence", "ai_reasoning")], F.lit(True).alias("_hit"))
+    joined = rows.join(new, "issue_id", "left")
+    touched = joined.where("_hit").select("scan_id").distinct()
+    joined = joined.join(touched, "scan_id", "left_semi")
+    out = joined.withColumns({c: F.coalesce(F.col(f"_{c}").cast(rows.schema[c].dataType), F.col(c)) for c in ("ai_action", "ai_confidence", "ai_reasoning")})
+    out = out.withColumn("updated_at", F.when(F.col("_hit"), F.lit(at)).otherwise(F.col("updated_at")))
+    log_decisions(settled(out.select(*rows.columns)), folder)  # written apart first: the log is what it is read from
+
+
+def workspace(base: str, at, salt: str) -> dict[str, str]:
+    """The folders of one scan, made on the driver's file system: report, cache and decisions."""
+    scan_id = f"{at:%Y-%m-%d_%H-%M-%S}_{hashlib.md5(salt.encode()).hexdigest()[:4]}"
+    out = {"scan_id": scan_id, "workspace": f"{base.rstrip('/')}/{scan_id}"}
+    for name in ("report", "cache", "decisions"):
+        out[name] = f"{out['workspace']}/{name}"
+        Path(out[name]).mkdir(parents=True, exist_ok=True)
+    return out
+
+
 def scans(decisions: DataFrame) -> DataFrame:
     """Ids of the sessions, the latest first."""
     return decisions.select("scan_id").distinct().orderBy(F.desc("scan_id"))

@@ -116,8 +116,9 @@ def not_excluded(found: DataFrame, nots: list[str], matched: str = "matched") ->
 
 
 def rules_for_files(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """files x rules where the rule's languages have the file's. rules is the rule dimension: hundreds of rows, broadcast."""
-    return files.join(F.broadcast(rules), T.language_matches(files["lang"], rules["languages"]))
+    """files x rules where the rule's languages have the file's. rules is the rule dimension, small enough for
+    Spark to broadcast it by its size."""
+    return files.join(rules, T.language_matches(files["lang"], rules["languages"]))
 
 
 def language_rules(rules: DataFrame) -> DataFrame:

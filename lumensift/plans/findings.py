@@ -12,6 +12,7 @@ from lumensift.operators import report as R
 from lumensift.plans.data import FEEDBACK_CTE, FINDINGS_CTE, PACK_SQL, TRIAGE_CTE, feedback, findings, stored_findings, table, values
 from lumensift.plans.registry import query
 from lumensift.plans.scans import _pack
+from lumensift.sources import rules_md
 
 
 @query(f"WITH {FINDINGS_CTE} SELECT rule_id, count(*) AS n FROM findings GROUP BY 1")
@@ -233,12 +234,8 @@ SAMPLES = [("## 1. 违规代码\n```java\nint a;\n```\n**预期命中**: `x-1`,
       array_to_string(CASE WHEN regexp_extract(s, '\*\*预期命中\*\*:\s*(.+)', 1) = '无' THEN [] ELSE regexp_extract_all(regexp_extract(s, '\*\*预期命中\*\*:\s*(.+)', 1), '`([^`]+)`', 1) END, '|') AS expected,
       contains(s, '违规代码') OR contains(regexp_extract(s, '(?m)^## (.+)$', 1), '违规') OR contains(lower(s), 'violation') AS is_violation FROM """ + values(SAMPLES, "s") + r""" WHERE regexp_matches(s, '(?s)```(\w+)\n(.*?)```')""")
 def test_case_parse(spark, sf_dir):
-    cases = spark.createDataFrame(SAMPLES, "s string")
-    block, wanted = r"(?s)```(\w+)\n(.*?)```", F.regexp_extract("s", r"\*\*预期命中\*\*:\s*(.+)", 1)
-    title = F.regexp_extract("s", r"(?m)^## (.+)$", 1)
-    expected = F.when(wanted == "无", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(wanted, F.lit("`([^`]+)`"), F.lit(1)))
-    bad = F.col("s").contains("违规代码") | title.contains("违规") | F.lower("s").contains("violation")
-    return cases.where(F.col("s").rlike(block)).select(title.alias("title"), F.regexp_extract("s", block, 1).alias("language"), T.stripped(F.regexp_extract("s", block, 2)).alias("code"), F.array_join(expected, "|").alias("expected"), bad.alias("is_violation"))
+    found = rules_md.test_cases(spark.createDataFrame([("cases/a.md", s) for (s,) in SAMPLES], "path string, content string"))
+    return found.select("title", "language", "code", F.array_join("expected", "|").alias("expected"), "is_violation")
 
 
 @query("WITH f AS (SELECT 'documents/' || doc_id AS path, sha256(text) AS hash, doc_id FROM documents) SELECT path, CASE WHEN doc_id % 5 = 0 THEN 'not_compiled' WHEN doc_id % 5 = 1 THEN 'outdated' ELSE 'cached' END AS status, left(hash, 8) AS hash, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN 'deadbeef' ELSE left(hash, 8) END AS cached_hash FROM f")
@@ -255,11 +252,7 @@ PARAMS = [("security", "temperature", "0.1", "0.3", None), ("security", "max_tok
 @query("SELECT workflow, param, coalesce(cli, yaml, standard) AS value FROM " + values(PARAMS, "workflow, param, standard, yaml, cli") + " WHERE coalesce(cli, yaml, standard) IS NOT NULL")
 def param_overlay(spark, sf_dir):
     rows = spark.createDataFrame(PARAMS, "workflow string, param string, standard string, yaml string, cli string")
-    layer = lambda c: F.map_from_entries(F.filter(F.collect_list(F.struct("param", F.col(c).alias("value"))), lambda e: e["value"].isNotNull()))
-    maps = rows.groupBy("workflow").agg(layer("standard").alias("a"), layer("yaml").alias("b"), layer("cli").alias("c"))
-    over = lambda low, high: F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
-    merged = maps.select("workflow", over(over(F.col("a"), F.col("b")), F.col("c")).alias("m"))
-    return merged.select("workflow", F.explode("m").alias("param", "value"))
+    return A.overlaid(rows, "workflow", "param", ["standard", "yaml", "cli"])
 
 
 PROMPTS = [("a", 'x = """\nfirst\n"""\ny = """second"""'), ("b", "whole file"), ("c", "")]
@@ -267,8 +260,4 @@ PROMPTS = [("a", 'x = """\nfirst\n"""\ny = """second"""'), ("b", "whole file"),
 
 @query("SELECT name, CASE WHEN regexp_matches(content, '(?s)\"\"\"(.*?)\"\"\"') THEN regexp_replace(regexp_extract(content, '(?s)\"\"\"(.*?)\"\"\"', 1), '^[ \\t\\n\\r]+|[ \\t\\n\\r]+$', '', 'g') WHEN content <> '' THEN content ELSE 'default' END AS prompt FROM " + values(PROMPTS, "name, content"))
 def prompt_extract(spark, sf_dir):
-    block = r'(?s)"""(.*?)"""'
-    found = F.when(F.col("content").rlike(block), T.stripped(F.regexp_extract("content", block, 1))).when(F.col("content") != "", F.col("content")).otherwise("default")
-    return spark.createDataFrame(PROMPTS, "name string, content string").select("name", found.alias("prompt"))
-
-
+    return spark.createDataFrame(PROMPTS, "name string, content string").select("name", rules_md.prompt(F.col("content")).alias("prompt"))

@@ -213,7 +213,7 @@ def cron_next_run(spark, sf_dir):
     now = F.col("o_orderdate").cast("timestamp") + F.make_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", now.alias("now"))
     exprs = spark.createDataFrame(CRONS, "expr string").where(cron.valid(F.col("expr")))
-    pairs = orders.crossJoin(F.broadcast(exprs))  # a list of a few schedules
+    pairs = orders.crossJoin(exprs)  # a list of a few schedules
     return pairs.select("o_orderkey", "expr", F.date_format(cron.next_run(F.col("expr"), F.col("now")), "yyyy-MM-dd HH:mm:ss").alias("next_run"))
 
 

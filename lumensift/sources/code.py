@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.functions.text import RESERVED
-from lumensift.sources.files import lines, located
+from lumensift.sources.files import changed_files, lines, located
 
 # What counts as a definition.
 JAVA = r"(?:public|private|protected)?\s*(?:static\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w,\s]+)?\s*\{"
@@ -49,6 +49,11 @@ def changed_defs(files: DataFrame) -> DataFrame:
     return out.select("path", "name", "line", (F.col("line") + length).cast("int").alias("end_line"))
 
 
+def full_scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a scan of a whole folder reports: every file, unchanged, and all definitions in them."""
+    return changed_files(files), changed_defs(files).withColumnRenamed("path", "file")
+
+
 def call_edges(files: DataFrame, methods: DataFrame) -> DataFrame:
     """(path, caller, callee), a row per call: a name of the same file, before a parenthesis, within the caller's body."""
     called = lines(files.select("path", "text")).select("path", "line", F.explode(F.regexp_extract_all("txt", F.lit(CALL), F.lit(1))).alias("callee"))

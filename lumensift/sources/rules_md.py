@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumensift.functions import text as T
+
 # Headings that name a language.
 HEADINGS = {"java": "java", "python": "python", "node.js": "javascript", "nodejs": "javascript", "javascript": "javascript", "js": "javascript", "typescript": "typescript", "ts": "typescript", "go": "go"}
 
@@ -103,3 +105,25 @@ def rule_rows(files: DataFrame) -> DataFrame:
         F.array_join(F.split(listed, ", *"), "|").alias("languages"), count("pattern").alias("n_pattern"), count("pattern-not").alias("n_not"), count("pattern-regex").alias("n_regex"),
     )
     return out.where("rule_id <> ''")
+
+
+def test_cases(files: DataFrame) -> DataFrame:
+    """(source_file, case_id, title, language, code, expected, is_violation) of files (path, content) of test cases.
+
+    A section with a code block is a case; its first block is the code. It is a violation if its text or title says so.
+    """
+    each = files.select(F.substring_index("path", "/", -1).alias("source_file"), F.posexplode(F.split("content", "\n---\n", -1)).alias("case_id", "_raw"))
+    each = each.withColumn("_s", T.stripped(F.col("_raw")))
+    block, wanted = r"(?s)```(\w+)\n(.*?)```", T.stripped(F.regexp_extract("_s", r"\*\*预期命中\*\*:\s*(.+)", 1))
+    title = F.regexp_extract("_s", r"(?m)^## (.+)$", 1)
+    expected = F.when(wanted == "无", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(wanted, F.lit("`([^`]+)`"), F.lit(1)))
+    bad = F.col("_s").contains("违规代码") | title.contains("违规") | F.lower("_s").contains("violation")
+    return each.where(F.col("_s").rlike(block)).select(
+        "source_file", "case_id", title.alias("title"), F.regexp_extract("_s", block, 1).alias("language"), T.stripped(F.regexp_extract("_s", block, 2)).alias("code"), expected.alias("expected"), bad.alias("is_violation"),
+    )
+
+
+def prompt(content: Column) -> Column:
+    """The first block in triple quotes of a prompt file, else the whole of it, else the default."""
+    block = r'(?s)"""(.*?)"""'
+    return F.when(content.rlike(block), T.stripped(F.regexp_extract(content, block, 1))).when(content != "", content).otherwise("default")

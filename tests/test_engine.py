@@ -172,12 +172,20 @@ def test_exclusions_look_at_the_match_only(spark):
     assert rows(match.not_excluded(found, [r"example\.com$"])) == [("me@site.org",)]
 
 
-def test_absent_llm_folder_leaves_the_rest_alone():
+def test_absent_llm_folder_leaves_the_rest_alone(tmp_path):
     import ast
+    import shutil
+    import subprocess
+    import sys
     from pathlib import Path
 
-    root = Path(__file__).resolve().parents[1] / "lumensift"
-    for path in root.rglob("*.py"):
+    top = Path(__file__).resolve().parents[1]
+    for path in (top / "lumensift").rglob("*.py"):
         if "llm" not in path.parts:
             names = [n.module or "" for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)]
             assert not [n for n in names if n.startswith("lumensift.llm")], path
+    shutil.copytree(top / "lumensift", tmp_path / "lumensift", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), set(e.queries()) == set(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    n, same = said.stdout.split()
+    assert int(n) > 90 and same == "True"

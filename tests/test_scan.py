@@ -281,3 +281,159 @@ def test_throttle_of_a_long_key(spark):
 
     alerts = spark.range(30_000).select(F.lit("k").alias("key"), F.col("id").alias("at"))
     assert throttle(alerts, "key", "at", 100).count() == 300
+
+
+def test_git_source(spark, tmp_path):
+    import shutil
+    import subprocess
+
+    from lumensift.sources import diff, git
+
+    if not shutil.which("git"):
+        pytest.skip("no git")
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@t", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-b", "one")
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/Main.java").write_text('public class Main {\n    public void hello() {\n        print("hello");\n    }\n}\n')
+    (tmp_path / "old name.py").write_text("def a():\n    pass\n" * 5)
+    (tmp_path / "gone.txt").write_text("x\n")
+    run("add", ".")
+    run("commit", "-m", "1")
+    run("checkout", "-b", "two")
+    (tmp_path / "src/Main.java").write_text('public class Main {\n    public void hello() {\n        print("hello world");\n    }\n    public void bye() {\n        print("bye");\n    }\n}\n')
+    (tmp_path / "src/New.java").write_text("public class New {\n    public void test() {}\n}\n")
+    (tmp_path / "gone.txt").unlink()
+    run("mv", "old name.py", "new.py")
+    run("add", "-A")
+    run("commit", "-m", "2")
+    assert git.is_repository(str(tmp_path)) and not git.is_repository(str(tmp_path / "src"))
+    stats = {r.path: (r.status, r.additions, r.deletions) for r in diff.file_stats(git.git_patches(spark, str(tmp_path), "one", "two")).collect()}
+    assert stats == {"src/Main.java": ("modified", 4, 1), "src/New.java": ("added", 3, 0), "gone.txt": ("deleted", 0, 1), "new.py": ("renamed", 0, 0)}
+    methods = {(r.file, r.name) for r in git.changed_methods(spark, str(tmp_path), "one", "two").collect()}
+    assert {("src/Main.java", "hello"), ("src/Main.java", "bye"), ("src/New.java", "test"), ("new.py", "a")} <= methods
+    assert {"src/Main.java", "src/New.java"} <= {r.path for r in git.git_stat(spark, str(tmp_path), "one", "two").collect()}
+    with pytest.raises(ValueError, match="diff"):
+        git.git_patches(spark, str(tmp_path), "one", "no such branch")
+
+
+def test_external_engine(spark, tmp_path):
+    from lumensift.sources import engine
+
+    rules = rules_md.parse(RULES_MD)
+    assert engine.engine_findings(spark, str(tmp_path), rules, binary="/no/such/engine").count() == 0
+    fake = tmp_path / "engine.sh"
+    fake.write_text("""#!/bin/sh
+test -s "$2" || exit 2
+echo '{"results": [{"check_id": "tmp.sqli-demo__java", "path": "a/B.java", "start": {"line": 3}, "end": {"line": 4}, "extra": {"message": "m", "severity": "ERROR", "lines": "x"}}]}'
+""")
+    fake.chmod(0o755)
+    got = engine.engine_findings(spark, str(tmp_path), rules, binary=str(fake)).collect()
+    assert [(r.rule_id, r.file, r.line, r.category) for r in got] == [("sqli-demo", f"{tmp_path}/a/B.java", 3, "security")]
+    slow = tmp_path / "slow.sh"
+    slow.write_text("#!/bin/sh\nexec sleep 20\n")
+    slow.chmod(0o755)
+    assert engine.engine_output(str(tmp_path), rules, binary=str(slow), timeout=0.5) == engine.NOTHING
+    assert engine.engine_output(str(tmp_path), [], binary=str(fake)) == engine.NOTHING
+
+
+def test_notifications(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lumensift.streaming import notify
+
+    got = []
+
+    class Target(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            got.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(500 if self.path == "/bad" else 204)
+            self.end_headers()
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Target)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert notify.post(url, "{}") and not notify.post(url + "bad", "{}") and not notify.post("", "{}") and not notify.post("http://127.0.0.1:9/", "{}", 1)
+    got.clear()
+    assert notify.Runner(lambda: {"total_issues": 2}, url, True).run() == {"total_issues": 2}
+    assert got[0]["event"] == "scan.complete" and got[0]["data"] == {"total_issues": 2}
+    got.clear()
+    now = [0.0]
+
+    def fails():
+        raise RuntimeError("no")
+
+    runner = notify.Runner(fails, url, True, throttle=10, clock=lambda: now[0])
+    for at in (0, 5, 10, 15):
+        now[0] = at
+        with pytest.raises(RuntimeError):
+            runner.run()
+    assert [g["data"]["error_type"] for g in got] == ["RuntimeError", "RuntimeError"] and {g["status"] for g in got} == {"success"}
+    got.clear()
+    notify.post_each(url)(spark.createDataFrame([('{"a": 1}',), ('{"a": 2}',)], "payload string"), 0)
+    assert sorted(g["a"] for g in got) == [1, 2]
+    server.shutdown()
+
+
+def test_schedule(spark):
+    import datetime as dt
+
+    from lumensift.streaming.schedule import Schedule
+
+    now, ran = [dt.datetime(2024, 2, 28, 23, 30)], []
+
+    def scan():
+        ran.append(now[0])
+        if len(ran) == 1:
+            raise RuntimeError("first one fails")
+
+    schedule = Schedule(spark, "0 2 * * *", scan, lambda: now[0])
+    assert schedule.due == dt.datetime(2024, 2, 29, 2) and not schedule.tick()
+    for at in (dt.datetime(2024, 2, 29, 2, 0, 1), dt.datetime(2024, 2, 29, 2, 0, 2), dt.datetime(2024, 3, 1, 3)):
+        now[0] = at
+        schedule.tick()
+    assert ran == [dt.datetime(2024, 2, 29, 2, 0, 1), dt.datetime(2024, 3, 1, 3)]
+    with pytest.raises(ValueError, match="schedule"):
+        Schedule(spark, "61 * * * *", scan)
+    now[0] = dt.datetime(2024, 3, 2, 3)
+    query = schedule.start("200 milliseconds")
+    query.processAllAvailable()
+    deadline = time.time() + 30
+    while len(ran) < 3 and time.time() < deadline:
+        time.sleep(0.2)
+    query.stop()
+    assert len(ran) == 3
+
+
+def test_decisions_are_updated_in_place(spark, tmp_path):
+    log = str(tmp_path / "log")
+    found = spark.createDataFrame([("1", "keep", 0.9, "a"), ("2", "keep", 0.8, "b")], "issue_id string, ai_action string, ai_confidence double, ai_reasoning string").withColumns({c: F.lit("x") for c in ("rule_id", "file", "severity", "message", "code_snippet")}).withColumn("line", F.lit(1))
+    for scan_id, rows in (("s1", found), ("s2", found.where("issue_id = '2'").withColumn("issue_id", F.lit("3")))):
+        H.log_decisions(H.decision_rows(rows, scan_id, "t", "r", "w"), log)
+    H.update_decisions(spark, log, spark.createDataFrame([("1", "drop", None, None), ("9", "drop", 0.1, "z")], "issue_id string, ai_action string, ai_confidence double, ai_reasoning string"), "t2")
+    got = {r.issue_id: (r.scan_id, r.ai_action, r.ai_confidence, r.ai_reasoning, r.updated_at) for r in H.read_decisions(spark, log).collect()}
+    assert got == {"1": ("s1", "drop", 0.9, "a", "t2"), "2": ("s1", "keep", 0.8, "b", None), "3": ("s2", "keep", 0.8, "b", None)}
+
+
+def test_workspace(tmp_path):
+    import datetime as dt
+
+    made = H.workspace(str(tmp_path), dt.datetime(2024, 1, 2, 3, 4, 5), "x")
+    assert made["scan_id"].startswith("2024-01-02_03-04-05_") and all(os.path.isdir(made[k]) for k in ("report", "cache", "decisions"))
+
+
+def test_cases_of_several_sections(spark):
+    text = "## 1. 违规代码\n```java\nint a;\n```\n```java\nint b;\n```\n**预期命中**: `x-1`, `x-2`\n---\n## ok\n```py\nb\n```\n**预期命中**: 无\n---\nno code\n---\n"
+    got = rules_md.test_cases(spark.createDataFrame([("t/cases.md", text)], "path string, content string")).orderBy("case_id").collect()
+    assert [(r.source_file, r.case_id, r.code, r.expected, r.is_violation) for r in got] == [("cases.md", 0, "int a;", ["x-1", "x-2"], True), ("cases.md", 1, "b", [], False)]
+
+
+def test_full_scan(spark):
+    from lumensift.sources import code as C
+
+    given, methods = C.full_scan(spark.createDataFrame(SCANNED, "path string, lang string, text string"))
+    assert {r.status for r in given.collect()} == {"unchanged"} and given.count() == 3
+    assert {(r.file, r.name) for r in methods.collect()} >= {("src/Dao.java", "a")}
