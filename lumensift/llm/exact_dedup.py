@@ -1,12 +1,17 @@
 """Exact deduplication by a log-structured merge index of digests.
 
-Every task sorts the digests of its rows (the memtable; Spark's sort spills) and flushes them as one sorted run: a
-Parquet file with a Bloom filter on the digest. Compaction merges the runs: of each digest it keeps the smallest
-identifier and the number of rows. Digests with several rows are hits, and hits are verified byte by byte.
+Every task sorts the digests of its rows (the memtable; Spark's sort spills) and flushes them as sorted files: together
+a run of the lowest level, with a filter of one-hash bitmaps. When a level has ``FANOUT`` runs, compaction merges them
+into one of the next level, dealt by range: of each digest it keeps the smallest identifier and the number of rows.
+Lookups ask a run's filter before they join the run.
+
+Digests with several rows are hits, and hits are verified byte by byte: the least and the greatest text of a digest,
+combined in each task before they are shuffled, are equal exactly if all its texts are. A digest whose texts differ
+falls back to the texts themselves.
 
 Defined results: a null text counts as empty; rows whose identifier repeats are rows of their own and count in
-``group_size``; a null identifier never stays while its group has another one; an empty table gives an empty result;
-further columns are not read.
+``group_size``; a null identifier never stays while its group has another one; texts of any length are digested and
+compared whole; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,31 +33,60 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+#: Runs of a level that are merged into one of the next.
+FANOUT = 4
+
+
 class DigestIndex:
-    """Runs of (digest, id) in a shared folder, and their compacted form (digest, keep_id, group_size)."""
+    """Runs (digest, keep_id, group_size) by level in a shared folder, each sorted and with a filter."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path, self.runs = spark, path or shared_path(spark, "digests"), 0
+        self.spark, self.path, self.made = spark, path or shared_path(spark, "digests"), 0
+        self.levels: dict[int, list[str]] = {}
+        self.flushed: list[str] = []
 
-    def flush(self, rows: DataFrame) -> None:
-        """Add rows (digest, id); every task writes one sorted run with its filter."""
-        out = rows.select("digest", "id").sortWithinPartitions("digest", "id").write
-        out = out.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
-        out.option("compression", "zstd").parquet(f"{self.path}/runs/{self.runs:06d}")
-        self.runs += 1
+    def _write(self, rows: DataFrame, level: int) -> str:
+        run = f"{self.path}/level-{level}-{self.made:06d}"
+        self.made += 1
+        out = rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        out.option("compression", "zstd").parquet(run)
+        self.levels.setdefault(level, []).append(run)
+        return run
 
-    def entries(self) -> DataFrame:
-        paths = [f"{self.path}/runs/{n:06d}" for n in range(self.runs)]
-        return self.spark.read.parquet(*paths)
+    def read(self, *runs: str) -> DataFrame:
+        return self.spark.read.parquet(*runs)
+
+    def flush(self, rows: DataFrame) -> None:
+        """Add rows (digest, id): a run of the lowest level. Levels that are full by then are merged."""
+        rows = rows.select("digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        self.flushed.append(self._write(rows.sortWithinPartitions("digest", "keep_id"), 0))
+        level = 0
+        while len(self.levels.get(level, [])) >= FANOUT:
+            self._merge([level], level + 1)
+            level += 1
+
+    def _merge(self, levels: list[int], into: int) -> str:
+        """One run of the runs of some levels. Minima and sums are combined in each task before they are shuffled."""
+        runs = [r for level in levels for r in self.levels.pop(level, [])]
+        merged = self.read(*runs).groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return self._write(merged.repartitionByRange("digest").sortWithinPartitions("digest"), into)
 
     def compact(self) -> DataFrame:
-        """Merge all runs. Counts and minima are combined in each task before they are shuffled: no hot digest."""
-        merged = self.entries().groupBy("digest").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        return stored(merged, "digests-compacted")
+        """All runs as one: (digest, keep_id, group_size)."""
+        return self.read(self._merge(sorted(self.levels), max(self.levels) + 1))
+
+    def rows(self) -> DataFrame:
+        """(digest, id) of all rows that were ever flushed."""
+        return self.read(*self.flushed).select("digest", F.col("keep_id").alias("id"))
 
     def probe(self, digests: DataFrame) -> DataFrame:
-        """Which of the digests an earlier flush has: the runs' filters and sorted ranges skip most row groups."""
-        return digests.join(self.entries().select("digest").distinct(), "digest", "left_semi")
+        """Which of the digests some run has. Only those that a run's filter lets through are joined with it."""
+        found = None
+        for run in (r for level in sorted(self.levels) for r in self.levels[level]):
+            own = self.read(run).select("digest")
+            hit = maybe_member(digests, "digest", own).join(own, "digest", "left_semi")
+            found = hit if found is None else found.unionByName(hit)
+        return digests.where("false") if found is None else found.distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
@@ -62,15 +96,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     index = DigestIndex(spark)
     index.flush(rows.select(digest(F.col("norm")).alias("digest"), "id"))
     merged = index.compact()
-    hits = merged.where("group_size > 1")
-    held = maybe_member(rows.withColumn("digest", digest(F.col("norm"))), "digest", hits)
-    # the keeper's text stands for its group; the smallest text if the keeper's row repeats
-    own = hits.select("digest", F.col("keep_id").alias("id"))
-    keepers = held.join(own, (held["digest"] == own["digest"]) & held["id"].eqNullSafe(own["id"]), "left_semi")
-    keepers = keepers.groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    unequal = held.join(keepers, "digest").where("norm <> kept_norm").select("digest").distinct()
-    unequal = stored(unequal, "digests-unequal")
-    found = index.entries().join(merged, "digest")
+    held = maybe_member(rows.withColumn("digest", digest(F.col("norm"))), "digest", merged.where("group_size > 1"))
+    texts = held.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    unequal = stored(texts.where("least <> greatest").select("digest"), "digests-unequal")
+    found = index.rows().join(merged, "digest")
     if not unequal.isEmpty():  # digests that collide: their groups are formed by their bytes
         again = rows.withColumn("digest", digest(F.col("norm"))).join(unequal, "digest", "left_semi")
         exact = again.groupBy("digest", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
