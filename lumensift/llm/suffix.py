@@ -1,23 +1,25 @@
-"""Removal of repeated byte strings, by fingerprint anchors that replace prefix doubling.
+"""Removal of repeated byte strings, by prefix doubling from anchors.
 
-Two positions share a string of ``length`` bytes exactly if the names of all its bytes agree. Prefix doubling would rank
-every position at every power of two, a row for each byte in every round; no such rounds are done here, and no order of
-suffixes is made. Instead
+Two positions share a string of ``length`` bytes exactly if the ranks of its two halves agree. Prefix doubling from
+single bytes on would sort a row for each byte in every round; here the rounds below ``length / 2`` are done inside each
+text, and most positions never become rows:
 
-1. inside each text, where no other text is needed, a rolling hash names the
-   ``length / 2`` bytes at every position, and each position's string is represented by its anchor, the least such
-   name within it. Neighbouring positions share anchors, so there is one anchor for each quarter of ``length`` bytes;
+1. inside each text, where no other text is needed, a rolling hash names the ``length / 2`` bytes at every position:
+   these names are the ranks that earlier rounds would have given. Each position's string is represented by its anchor,
+   the least such name within it. Neighbouring positions share anchors, so there is one anchor for each quarter of
+   ``length`` bytes;
 2. Spark counts the anchors' names. A position whose anchor is unique is unique, and is out;
 3. anchors that repeat are named anew by all bytes that their positions' strings cover. Where that name repeats as
-   well, all its positions are repeats;
-4. of the others that tie with some anchor, single positions get a name of their full length: Spark sorts the tied
-   strings by anchor, and positions are compared within each run of equal names.
+   well, all its positions are repeats, and one of them stands for them from here on;
+4. the others are tied. The round that passes the threshold: each tied position becomes a pair of its rank and the rank
+   at the offset ``length / 2``, Spark sorts the pairs, and positions whose pairs are equal are repeats.
 
-Names are hashes (64 bits to propose, 128 bits to decide): equality needs no ranks in sorted order.
+Ranks are hashes, so equality needs no numbering: 64 bits of the first half and 32 of the second, which are compared
+among tied positions only.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes; matches never cross texts;
-overlapping repeats inside one text count; repeated rows repeat each other; an empty table gives an empty result;
-further columns are not read.
+overlapping repeats inside one text count; repeated rows repeat each other; texts of any length are hashed in pieces of
+bounded size; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,14 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.llm.common import flagged, maybe_member, small_batches, stored
-from lumensift.llm.textbuf import BASE, BYTE_VALUE, INVERSE, buffer_of, mixed, powers
+from lumensift.llm.textbuf import BASE, BYTE_VALUE, INVERSE, PIECE, buffer_of, mixed, powers, releasing
 
-#: Tied strings of one anchor that a task compares in memory (each of 1.5 times the length at most); beyond this
-#: their positions go through an aggregation instead.
-MOST_TIED = 50_000
+#: Rows of one name and cover, from which on its join goes by parts, and the number of parts.
+HOT_COVER, SALTS = 10_000, 64
 
-BASE_2 = 0xD6E8FEB86659FD93
-INVERSE_2 = pow(BASE_2, -1, 1 << 64)
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 ANCHORS = "row long, name long, cover long, first int, last int"
@@ -87,101 +86,85 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     return text, name[at], cover, first - offsets[text], last - offsets[text]
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets, numbers of their texts, first position) of the batch in pieces of about PIECE positions.
+
+    Texts go together while they are short; a longer one is cut into pieces that share length - 1 bytes, so that every
+    position is in one of them. Runs of positions end with their piece; the strings that tie there are compared later.
+    """
+    sizes, begin = np.diff(offsets), 0
+    while begin < len(sizes):
+        if sizes[begin] > 2 * PIECE:
+            own = data[offsets[begin] : offsets[begin + 1]]
+            for at in range(0, max(len(own) - length + 1, 1), PIECE):
+                part = own[at : at + PIECE + length - 1]
+                yield part, np.array([0, len(part)]), np.array([begin]), at
+            begin += 1
+            continue
+        end = begin + 1
+        while end < len(sizes) and sizes[end] <= 2 * PIECE and offsets[end + 1] - offsets[begin] <= 2 * PIECE:
+            end += 1
+        yield data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin], np.arange(begin, end), 0
+        begin = end
+
+
+@releasing
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer_of(batch.column(1))
-        text, name, cover, first, last = anchors(data, offsets, length)
-        arrays = [batch.column(0).take(pa.array(text)), pa.array(name.view(np.int64)), pa.array(cover.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["row", "name", "cover", "first", "last"])
+        for part, edges, numbers, at in _pieces(data, offsets, length):
+            text, name, cover, first, last = anchors(part, edges, length)
+            arrays = [batch.column(0).take(pa.array(numbers[text])), pa.array(name.view(np.int64)), pa.array(cover.view(np.int64)), pa.array((first + at).astype(np.int32)), pa.array((last + at).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "name", "cover", "first", "last"])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of each text the wanted strings: bytes first to last + length."""
-    for batch in batches:
-        out = {"row": [], "name": [], "first": [], "alone": [], "string": []}
-        for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            for w in wanted:
-                out["row"].append(row)
-                out["name"].append(w["name"])
-                out["first"].append(w["first"])
-                out["alone"].append(w["alone"])
-                out["string"].append(data[w["first"] : w["last"] + length])
-        yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), pa.array(out["name"], pa.int64()), pa.array(out["first"], pa.int32()), pa.array(out["alone"], pa.bool_()), pa.array(out["string"], pa.binary())], names=list(out))
-
-
-def ranks(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(string's number, position in it, two halves of the 128-bit name) of each position that has length bytes."""
-    n = offsets[1:] - offsets[:-1] - length + 1
-    own = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    at = offsets[own] + place
-    names = []
-    for base, inverse in ((BASE, INVERSE), (BASE_2, INVERSE_2)):
-        total = _totals(data, base)
-        names.append(mixed((total[at + length] - total[at]) * powers(inverse, len(data))[at]))
-    return own, place, *names
-
-
-def _repeats(own: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Of complete runs of one anchor name: the repeated positions of strings that occur once, as spans."""
-    data, offsets = buffer_of(_as_text(own.column(4)))
-    string, place, a, b = ranks(data, offsets, length)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    same = np.zeros(len(a) + 1, bool)
-    same[1:-1] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    repeated = np.zeros(len(order), bool)
-    repeated[order] = same[:-1] | same[1:]
-    alone = own.column(3).to_numpy(zero_copy_only=False)
-    hit = np.flatnonzero(repeated & alone[string])
-    # runs of neighbouring positions make one span
-    cut = np.ones(len(hit), bool)
-    cut[1:] = (np.diff(hit) != 1) | (np.diff(string[hit]) != 0)
-    begin = hit[cut]
-    end = hit[np.concatenate([cut[1:], np.ones(min(1, len(hit)), bool)])] if len(hit) else hit
-    base = own.column(2).to_numpy()
-    start = base[string[begin]] + place[begin]
-    stop = base[string[end]] + place[end] + length
-    return pa.RecordBatch.from_arrays([own.column(0).take(pa.array(string[begin])), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["row", "start", "stop"])
-
-
-def _as_text(col: pa.Array) -> pa.Array:
-    """The binary column under the type that buffer_of reads; the bytes stay as they are."""
-    return pa.Array.from_buffers(pa.string(), len(col), col.buffers(), col.null_count, col.offset)
+def pairs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each position that has ``length`` bytes, and the rank at half the length behind it (32 bits of it)."""
+    half = length // 2
+    total = _totals(data, BASE)
+    names = mixed((total[half:] - total[:-half]) * powers(INVERSE, len(data))[: len(data) - half + 1])
+    n = len(data) - length + 1
+    return names[:n].view(np.int64), (names[half : half + n] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+@releasing
 def _tied(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by name; a name's rows may go on in the next batch."""
-    held: list[pa.RecordBatch] = []
-    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    """Of each text its tied positions as rows: pairs of ranks."""
+    names = ["row", "start", "alone", "a", "b"]
+    for batch in batches:
+        for row, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            out = []
+            for w in wanted:
+                a, b = pairs(data[w["first"] : w["last"] + length], length)
+                out.append((np.arange(w["first"], w["last"] + 1, dtype=np.int32), np.full(len(a), w["alone"]), a, b))
+            start, alone, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            for at in range(0, len(start), PIECE):  # a bounded batch of rows, however long the text is
+                cut = slice(at, at + PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start[cut]), row)), pa.array(start[cut]), pa.array(alone[cut]), pa.array(a[cut]), pa.array(b[cut])], names=names)
+
+
+@releasing
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their pairs those whose pair another row has, and that stand for themselves: (row, start)."""
+    held = None  # the last row, whose pair the next batch may repeat: its columns, and whether a row before has its pair
     for batch in batches:
         if not batch.num_rows:
             continue
-        name = batch.column(1).to_numpy()
-        if held and held[-1].column(1)[0].as_py() != name[0]:  # the held name has ended
-            yield _repeats(joined(), length)
-            held = []
-        others = np.flatnonzero(name != name[-1])
-        if len(others):
-            cut = int(others[-1]) + 1
-            held.append(batch.slice(0, cut))
-            yield _repeats(joined(), length)
-            held, batch = [], batch.slice(cut)
-        held.append(batch)
-    if held:
-        yield _repeats(joined(), length)
-
-
-def _positions(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = buffer_of(_as_text(batch.column(4)))
-        string, place, a, b = ranks(data, offsets, length)
-        at = pa.array(string)
-        start = (batch.column(2).to_numpy()[string] + place).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), pa.array(start), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["row", "alone", "start", "a", "b"])
-
-
+        row, start, alone, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        if held is not None:
+            row, start, alone, a, b = (np.concatenate([[h], x]) for h, x in zip(held[0], (row, start, alone, a, b), strict=True))
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        before = np.concatenate([[held is not None and held[1]], same])
+        hit = before | np.concatenate([same, [False]])
+        hit = hit[:-1] & alone[:-1].astype(bool)
+        held = ((row[-1], start[-1], alone[-1], a[-1], b[-1]), bool(before[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(row[:-1][hit], pa.int64()), pa.array(start[:-1][hit], pa.int32())], names=["row", "start"])
+    if held is not None and held[1] and held[0][2]:
+        yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([held[0][1]], pa.int32())], names=["row", "start"])
+
+
+@releasing
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
@@ -198,7 +181,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["doc_id", *out])
 
 
-def repeated_spans(docs: DataFrame, length: int, most_tied: int = MOST_TIED) -> DataFrame:
+def _of_covers(tied: DataFrame, covers: DataFrame) -> DataFrame:
+    """The runs whose name and cover another run has. Hot covers are joined in parts: a copy of very many texts is no hot key."""
+    key = F.xxhash64("name", "cover").alias("_key")
+    hot = covers.where(F.col("n") >= HOT_COVER).select(key)
+    runs = flagged(tied.select("*", key), "_key", hot)
+    runs = runs.withColumn("_salt", F.when(F.col("_maybe"), F.pmod(F.xxhash64("row", "first"), F.lit(SALTS))).otherwise(0))
+    again = flagged(covers.where("n > 1").select("name", "cover", key), "_key", hot)
+    again = again.select("name", "cover", F.explode(F.when(F.col("_maybe"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("_salt"))
+    return runs.join(again, ["name", "cover", "_salt"], "left_semi").select(*tied.columns)
+
+
+def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(row, start, stop): bytes start to stop of the text are covered by repeats. docs: (row, text), row one per text."""
     runs = stored(docs.mapInArrow(partial(_anchors, length=length), ANCHORS), "suffix-anchors")
     again = stored(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "suffix-names")
@@ -206,35 +200,41 @@ def repeated_spans(docs: DataFrame, length: int, most_tied: int = MOST_TIED) ->
     tied = stored(tied, "suffix-tied")
     covers = tied.groupBy("name", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
     covers = stored(covers, "suffix-covers")
-    whole = tied.join(covers.where("n > 1").select("name", "cover"), ["name", "cover"], "left_semi")
+    whole = _of_covers(tied, covers)
     whole = whole.select("row", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
     # names with several covers, of which one occurs once: only those may hold more repeats
-    several = covers.groupBy("name").agg(F.count(F.lit(1)).alias("covers"), F.min("n").alias("least")).where("covers > 1 and least = 1").select("name", "covers")
-    open_ = covers.join(several, "name").select("one.row", F.struct("name", "one.first", "one.last", (F.col("n") == 1).alias("alone")).alias("wanted"), "covers")
+    several = covers.groupBy("name").agg(F.count(F.lit(1)).alias("covers"), F.min("n").alias("least")).where("covers > 1 and least = 1").select("name")
+    open_ = covers.join(several, "name").select("one.row", F.struct("one.first", "one.last", (F.col("n") == 1).alias("alone")).alias("wanted"))
     wanted = open_.groupBy("row").agg(F.collect_list("wanted").alias("wanted"))  # at most one for each quarter of length bytes of a text
     texts = maybe_member(docs, "row", wanted.select("row"), 1 << 24).dropDuplicates(["row"]).join(wanted, "row").select("row", "text", "wanted")
-    strings = texts.mapInArrow(partial(_slices, length=length), "row long, name long, first int, alone boolean, string binary")
-    strings = stored(strings.join(several, "name").select("row", "name", "first", "alone", "string", "covers"), "suffix-strings")
-    few = strings.where(F.col("covers") <= most_tied).drop("covers").repartition("name").sortWithinPartitions("name")
-    spans = whole.unionByName(few.mapInArrow(partial(_tied, length=length), "row long, start int, stop int"))
-    many = strings.where(F.col("covers") > most_tied).drop("covers")
-    if not many.isEmpty():
-        each = many.mapInArrow(partial(_positions, length=length), "row long, alone boolean, start int, a long, b long")
-        each = stored(each, "suffix-positions")
-        twice = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        hit = each.where("alone").join(twice, ["a", "b"], "left_semi")
-        spans = spans.unionByName(hit.select("row", "start", (F.col("start") + length).cast("int").alias("stop")))
-    return stored(spans, "suffix-spans")
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", most_tied: int = MOST_TIED) -> DataFrame:
+    ranked = texts.mapInArrow(partial(_tied, length=length), "row long, start int, alone boolean, a long, b int")
+    # by both ranks: a passage that very many texts share gives many keys of as many rows as it has versions
+    ranked = ranked.repartition("a", "b").sortWithinPartitions("a", "b")
+    hit = ranked.mapInArrow(_repeated, "row long, start int")
+    return stored(whole.unionByName(hit.select("row", "start", (F.col("start") + length).cast("int").alias("stop"))), "suffix-spans")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """docs with row: a hash of identifier and text, the same for repeated rows only. Among very many rows some differ and
+    share a hash; a second hash shows these, and they get another one."""
+    name = lambda salt: F.xxhash64(F.lit(salt), "doc_id", "text")
+    shared = docs.select(name(0).alias("row"), name(1).alias("other")).groupBy("row").agg(F.min("other").alias("least"), F.max("other").alias("most"))
+    shared = stored(shared.where("least <> most").select("row"), "suffix-shared")
+    docs = docs.withColumn("row", name(0))
+    if shared.isEmpty():
+        return docs
+    both = docs.join(shared.withColumn("_shared", F.lit(True)), "row", "left")
+    return both.withColumn("row", F.when(F.col("_shared"), name(2)).otherwise(F.col("row"))).select("doc_id", "text", "row")
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) per row; kept: the bytes that stay, which may end inside a character."""
     if length < 4 or length % 2:
         raise ValueError("length must be an even number of bytes, 4 at least")
     small_batches(docs.sparkSession, 256)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(docs.select("row", "text"), length, most_tied)
+    docs = _named(docs)
+    spans = repeated_spans(docs.select("row", "text"), length)
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     spans = stored(spans, "suffix-by-row")
     seen = flagged(docs, "row", spans)
