@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumensift.llm.common import small_batches, stored
 from lumensift.llm.textbuf import buffer_of, distinct, releasing, runs
@@ -167,8 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     return Model(chosen, weights, bias)
 
 
-@releasing
-def _score(batches: Iterator[pa.RecordBatch], model: Model, offending: float) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], model: Model, offending: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer_of(batch.column(1))
         h, sentence, text, span = sentences(data, offsets)
@@ -191,6 +191,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, offending: float) ->
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), lists], names=["doc_id", "score", "offending"])
 
 
+_score = releasing(_scored)
+
+
 def score(docs: DataFrame, model: Model, offending: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, offending) per row; offending: (start, stop, score) of sentences, in bytes of the UTF-8 text."""
     small_batches(docs.sparkSession)
@@ -198,6 +201,25 @@ def score(docs: DataFrame, model: Model, offending: float = 0.3, id_col: str = "
     return rows.mapInArrow(partial(_score, model=model, offending=offending), "doc_id long, score double, offending array<struct<start:int,stop:int,score:double>>")
 
 
+@releasing
+def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    """The rows as they came, each with its score."""
+    for batch in batches:
+        doc = batch.column(0)
+        text = doc.field("text") if not doc.null_count else doc.flatten()[doc.type.get_field_index("text")]
+        numbers = pa.array(np.arange(batch.num_rows))
+        scored = next(_scored(iter([pa.RecordBatch.from_arrays([numbers, text], names=["doc_id", "text"])]), model, 1.0))
+        yield pa.RecordBatch.from_arrays([doc, scored.column(1)], names=["doc", "score"])
+
+
+def score_rows(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc, score): every row of docs as a struct, with the score of its column ``text``."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("doc"))
+    schema = T.StructType([rows.schema["doc"], T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(partial(_score_rows, model=model), schema)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the identifier as text, modulo 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
