@@ -1,6 +1,13 @@
 """From raw documents to encoded training text: toxicity filter, exact and near deduplication, mixing, BPE.
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the next one reads it. No stage can be stated in SQL (training, hashing and tokenising), so there is none.
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and is written as Parquet before the next
+one reads it. No stage can be stated in SQL (training, hashing and tokenising), so there is none.
+
+Defined results: null texts count as empty, and of empty and blank texts one stays behind exact deduplication, which near
+deduplication and mixing keep; rows with a null identifier are documents, but never copies by near deduplication; rows
+that share an identifier are one document in near deduplication, rows of their own elsewhere; ties go to the smallest
+identifier; an empty table gives empty results; further columns are carried on unread, whatever their names, to the last
+stage, which returns doc_id, ids and decoded.
 """
 
 from __future__ import annotations
@@ -9,21 +16,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.llm import bpe, exact_dedup, minhash, mixing, queries, toxicity
-from lumensift.llm.common import flagged, stored, table
+from lumensift.llm.common import stored, table
 
 #: Documents that score this or more are rejected.
 TOXIC = 0.3
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the classifier takes for toxic. It learns from the labelled documents of sf_dir."""
+    """docs without those that the classifier takes for toxic. It learns from the labelled documents of sf_dir; labels of
+    documents that aren't there, and null labels, teach nothing. Null and empty texts score 0 and stay."""
     model = toxicity.train(table(spark, sf_dir, "documents"), toxicity.toxic_labels(table(spark, sf_dir, "labels")))
-    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
-    gone = toxicity.score(keyed, model, id_col="row").where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("row"))
-    gone = stored(gone.distinct(), "pipeline-toxic")
-    seen = flagged(keyed, "row", gone)
-    rest = seen.where("_maybe").join(gone, "row", "left_anti")
-    return seen.where("not _maybe").select("doc").unionByName(rest.select("doc")).select("doc.*")
+    return toxicity.score_rows(docs, model).where(F.col("score") < TOXIC).select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
