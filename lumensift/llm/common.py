@@ -97,6 +97,26 @@ def maybe_member(df: DataFrame, key: str, keys: DataFrame, bits: int = 1 << 24)
     return flagged(df, key, keys, bits).where("_maybe").drop("_maybe")
 
 
+#: Nodes of a component, from which on what is known of it is joined in parts.
+HOT_COMPONENT = 1_000
+
+
+def join_in_parts(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFrame, spread: Column, how: str = "inner", parts: int = 64) -> DataFrame:
+    """rows joined with other, which has a row for a key at most, on columns of both. hot: keys that very many rows have.
+
+    Rows of hot keys are dealt by ``spread`` to parts, each of which gets a copy of the key's row of other. Which keys are
+    dealt is told by a bitmap on both sides, so any number of them may be hot.
+    """
+    key = F.xxhash64(*on)
+    hot = hot.select(key.alias("_key"))
+    rows = flagged(rows.withColumn("_key", key), "_key", hot)
+    rows = rows.withColumn("_part", F.when(F.col("_maybe"), F.pmod(spread, F.lit(parts)).cast("int")).otherwise(0)).drop("_key", "_maybe")
+    other = flagged(other.withColumn("_key", key), "_key", hot)
+    copies = F.when(F.col("_maybe"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    other = other.withColumn("_part", F.explode(copies)).drop("_key", "_maybe")
+    return rows.join(other, [*on, "_part"], how).drop("_part")
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (u, v), for every node of an edge.
 

@@ -9,9 +9,13 @@ compared with the most central one only; components of the confirmed links follo
 that still lie in different components are compared, in blocks that give nothing but links between components, so that
 no link that could join two components is missed.
 
+Nodes are classes of equal word sequences, by a 128-bit key, and not identifiers: an identifier that repeats with
+different texts is in several classes, and joins them.
+
 Defined results: null and blank texts have the empty set and link with nothing; rows that share an identifier are one
 document, so a link of one of them is a link of the identifier; rows with a null identifier get a null component and
-are kept; an empty table gives an empty result; further columns are not read.
+are kept; texts of any length are compared whole, and blocks are bounded by the shingles in them; an empty table gives
+an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import components, flagged, maybe_member, small_batches, stored
-from lumensift.llm.textbuf import FACTORS, MASKS, buffer_of, distinct, mixed, shingles
+from lumensift.llm.common import HOT_COMPONENT, components, flagged, join_in_parts, maybe_member, small_batches, stored
+from lumensift.llm.textbuf import FACTORS, MASKS, buffer_of, distinct, mixed, releasing, shingles
 
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
@@ -34,7 +38,10 @@ BITS = 4
 SLACK = 0.26
 #: Members of a bucket that are compared in one task, squared (row numbers of a block are 16-bit integers).
 BLOCK = 384
+#: Shingles, about, of all members on one side of a block.
+BLOCK_SHINGLES = 1 << 20
 
+NODE = "struct<k1:long,k2:long>"
 SIGNATURES = "doc_id long, k1 long, k2 long, n_shingles long, sig array<long>, bands array<long>"
 
 
@@ -56,6 +63,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.nd
     return keys, n, sig, bands
 
 
+@releasing
 def _sign(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffer_of(batch.column(1))
@@ -82,17 +90,24 @@ def _least_agreeing(threshold: float) -> int:
     return int(np.ceil(HASHES * ((threshold - SLACK) * (1 - chance) + chance)))
 
 
+def _of_node(keys: np.ndarray, node: pa.StructArray) -> np.ndarray:
+    """Which texts have the word sequence that their node names: an identifier may have other texts as well."""
+    want = [node.field(k).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for k in (0, 1)]
+    return (keys[:, 0] == want[0]) & (keys[:, 1] == want[1])
+
+
+@releasing
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = []
+        sets, keep = [], np.ones(batch.num_rows, bool)
         for col in (2, 3):
             data, offsets = buffer_of(batch.column(col))
-            h, own, _ = shingles(data, offsets, words)
+            h, own, keys = shingles(data, offsets, words)
+            keep &= _of_node(keys, batch.column(col - 2))
             h, own = distinct(h, own)
             sets.append((h, np.searchsorted(own, np.arange(len(offsets)))))
         (x, xs), (y, ys) = sets
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
+        for i in np.flatnonzero(keep):
             a, b = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
             both = len(np.intersect1d(a, b, assume_unique=True))
             keep[i] = both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
@@ -100,12 +115,13 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Ite
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough. Texts of candidates only are shuffled."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    """The pairs of nodes (u, v; ui and vi: an identifier of each) whose full sets are similar enough. Texts of candidates
+    only are shuffled."""
+    ids = pairs.select(F.col("ui").alias("doc_id")).unionByName(pairs.select(F.col("vi").alias("doc_id"))).distinct()
     held = maybe_member(docs, "doc_id", ids)
-    first = pairs.join(held.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = first.join(held.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, words=words, percent=percent), "u long, v long")
+    first = pairs.join(held.select(F.col("doc_id").alias("ui"), F.col("text").alias("text_u")), "ui")
+    both = first.join(held.select(F.col("doc_id").alias("vi"), F.col("text").alias("text_v")), "vi")
+    return both.select("u", "v", "text_u", "text_v").mapInArrow(partial(_confirm, words=words, percent=percent), f"u {NODE}, v {NODE}")
 
 
 def _candidates(block: pa.Table, least: int, percent: int) -> np.ndarray:
@@ -115,7 +131,8 @@ def _candidates(block: pa.Table, least: int, percent: int) -> np.ndarray:
     """
     col = lambda name: block.column(name).to_numpy()
     flat = lambda name: np.array(block.column(name).to_pylist(), np.int64).view(np.uint64)
-    ids, part, n, comp, sig, bands = col("rep"), col("part"), col("n_shingles"), col("component"), flat("sig"), flat("bands")
+    part, n, sig, bands = col("part"), col("n_shingles"), flat("sig"), flat("bands")
+    comp = _numbers(block.column("component"))
     band, low, high = (block.column(c)[0].as_py() for c in ("band", "low", "high"))
     cols = np.flatnonzero(part == high)
     pairs = []
@@ -127,12 +144,18 @@ def _candidates(block: pa.Table, least: int, percent: int) -> np.ndarray:
         near = (agree >= least) & (comp[cols] != comp[i]) & (100 * np.minimum(n[cols], n[i]) >= percent * np.maximum(n[cols], n[i]))
         near &= ~(bands[cols, :band] == bands[i, :band]).any(1)
         if low == high:
-            near &= ids[cols] > ids[i]
+            near &= cols > i
         k = np.flatnonzero(near)
         pairs.append(np.stack([agree[k], np.full(len(k), i), cols[k]], 1).astype(np.int16))
     return np.concatenate(pairs) if pairs else np.zeros((0, 3), np.int16)
 
 
+def _numbers(nodes: pa.ChunkedArray) -> np.ndarray:
+    """The nodes as small integers: equal ones get equal numbers."""
+    keys = np.stack([nodes.combine_chunks().field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], 1) if len(nodes) else np.zeros((0, 2), np.int64)
+    return np.unique(keys, axis=0, return_inverse=True)[1].ravel()
+
+
 def _promising(block: pa.Table, least: int, percent: int) -> pa.Table:
     """The rows of a block that some pair needs."""
     pairs = _candidates(block, least, percent)
@@ -145,14 +168,19 @@ def _across(block: pa.Table, words: int, least: int, percent: int) -> pa.Table:
     Pairs go by their estimate, the nearest first; each is confirmed on the full sets, unless the links found here
     have joined its ends by then.
     """
+    block = block.combine_chunks()
+    nodes = block.column("node").combine_chunks()
+    sets, own = [], []
+    for at in range(0, block.num_rows, 64):  # hashing takes many times a text's size
+        data, offsets = buffer_of(block.column("text").slice(at, 64).combine_chunks())
+        h, text, keys = shingles(data, offsets, words)
+        own.append(_of_node(keys, nodes.slice(at, 64)))
+        h, text = distinct(h, text)
+        sets += np.split(h, np.searchsorted(text, np.arange(1, len(offsets) - 1)))
     pairs = _candidates(block, least, percent)
-    ids, n, comp = (block.column(c).to_numpy() for c in ("rep", "n_shingles", "component"))
-    sets = []
-    for batch in block.select(["text"]).to_batches(max_chunksize=64):  # hashing takes many times a text's size
-        data, offsets = buffer_of(batch.column(0))
-        h, own, _ = shingles(data, offsets, words)
-        h, own = distinct(h, own)
-        sets += np.split(h, np.searchsorted(own, np.arange(1, batch.num_rows)))
+    own = np.concatenate(own)
+    pairs = pairs[own[pairs[:, 1]] & own[pairs[:, 2]]]
+    n, comp = block.column("n_shingles").to_numpy(), _numbers(block.column("component"))
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -168,9 +196,10 @@ def _across(block: pa.Table, words: int, least: int, percent: int) -> pa.Table:
         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
         if both and 100 * both >= percent * (n[i] + n[j] - both):
             root[max(a, b)] = min(a, b)
-            u.append(ids[i])
-            v.append(ids[j])
-    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+            u.append(i)
+            v.append(j)
+    ends = [nodes.take(pa.array(x, pa.int64())) for x in (u, v)]
+    return pa.table(ends, names=["u", "v"])
 
 
 PLACE = ["band", "key", "low", "high"]
@@ -185,13 +214,13 @@ def _on_blocks(f: Callable[..., pa.Table], least: int, percent: int) -> Callable
 
 def _blocks(in_bucket: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the buckets that still hold several components, their leader aside (it has met all), by pair of parts."""
-    rest = in_bucket.where("size > 2 and rep <> leader").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    rest = rest.withColumn("component", F.coalesce("component", "rep"))
-    open_ = rest.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("left")).where("c1 <> c2")
-    rest = rest.join(open_.select("band", "key", "left"), ["band", "key"])
-    parts = F.ceil(F.col("left") / BLOCK).cast("int")
-    rest = rest.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return rest.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "n_shingles", "sig", "bands", "component")
+    rest = in_bucket.where("size > 2 and node <> leader").join(found.select("node", "component"), "node", "left")
+    rest = rest.withColumn("component", F.coalesce("component", "node"))
+    open_ = rest.groupBy("band", "key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("left"), F.sum("n_shingles").alias("held")).where("c1 <> c2")
+    rest = rest.join(open_.select("band", "key", "left", "held"), ["band", "key"])
+    parts = F.ceil(F.greatest(F.col("left") / BLOCK, F.least(F.col("held") / BLOCK_SHINGLES, F.col("left")))).cast("int")
+    rest = rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rest.select("band", "key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "rep", "n_shingles", "sig", "bands", "component")
 
 
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,31 +229,40 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(partial(_sign, words=words), SIGNATURES), "minhash-rows")
+    node = F.struct("k1", "k2").alias("node")
     classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes, "minhash-classes")
+    classes = stored(classes.select(node, "rep", "n_shingles", "sig", "bands"), "minhash-classes")
     least = _least_agreeing(percent / 100)
-    members = classes.where("n_shingles > 0 and rep is not null").select("rep", "n_shingles", "sig", "bands", F.posexplode("bands").alias("band", "key"))
+    members = classes.where("n_shingles > 0 and rep is not null").select("node", "rep", "n_shingles", "sig", "bands", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     in_bucket = stored(members.join(sizes, ["band", "key"]), "minhash-members")
     # the leader of a bucket is its most central member, that of the largest buckets: most others link with it
-    central = in_bucket.groupBy("rep").agg(F.sum("size").alias("central"))
-    leading = in_bucket.select("band", "key", "rep").join(central, "rep").groupBy("band", "key").agg((-F.max(F.struct("central", (-F.col("rep")).alias("m")))["m"]).alias("leader"))
+    central = in_bucket.groupBy("node").agg(F.sum("size").alias("central"))
+    leading = in_bucket.select("band", "key", "node").join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("leader"))
     in_bucket = stored(in_bucket.join(leading, ["band", "key"]), "minhash-led")
-    leaders = classes.select(F.col("rep").alias("leader"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
-    star = in_bucket.where("rep <> leader").select("leader", "rep", "sig", "n_shingles").dropDuplicates(["leader", "rep"]).join(leaders, "leader")
+    leaders = classes.select(F.col("node").alias("leader"), F.col("rep").alias("ui"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
+    star = in_bucket.where("node <> leader").select("leader", "node", F.col("rep").alias("vi"), "sig", "n_shingles").dropDuplicates(["leader", "node"]).join(leaders, "leader")
     star = star.where(F.expr(f"{_agreeing('sig', 'sig2')} >= {least} and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"))
-    links = stored(_confirmed(stored(star.select(F.col("leader").alias("u"), F.col("rep").alias("v")), "minhash-star"), docs, words, percent), "minhash-links")
+    star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star")
+    links = stored(_confirmed(star, docs, words, percent).distinct(), "minhash-links")
+    # an identifier with several texts joins their classes
+    own = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", node)
+    several = own.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("doc_id", "u")
+    links = links.unionByName(stored(own.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "minhash-same"))
     found = components(links, "minhash-first")
     promising, across = (_on_blocks(f, least, percent) for f in (_promising, partial(_across, words=words)))
     rest = _blocks(in_bucket, found)
     rest = stored(rest.groupBy(*PLACE).applyInArrow(promising, rest.schema), "minhash-rest")
     if not rest.isEmpty():
         texts = maybe_member(docs, "doc_id", rest.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
-        more = rest.join(texts.dropDuplicates(["rep"]), "rep").groupBy(*PLACE).applyInArrow(across, "u long, v long")
+        texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["rep", "_hash"]).drop("_hash")
+        more = rest.join(texts, "rep").groupBy(*PLACE).applyInArrow(across, f"u {NODE}, v {NODE}")
         found = components(links.unionByName(stored(more, "minhash-more")), "minhash-second")
-    classes = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    classes = classes.select("k1", "k2", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).alias("component_id"))
-    out = rows.select("doc_id", "k1", "k2").join(classes, ["k1", "k2"])
+    joined = classes.where("n_shingles > 0").select("node", "rep").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    hot = smallest.where(F.col("nodes") >= HOT_COMPONENT)
+    known = join_in_parts(joined.select("node", "component"), smallest, ["component"], hot, F.xxhash64("node")).select("node.k1", "node.k2", "component_id")
+    out = rows.select("doc_id", "k1", "k2", "n_shingles").join(known, ["k1", "k2"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import flagged, maybe_member, small_batches, stored
+from lumensift.llm.common import flagged, join_in_parts, maybe_member, small_batches, stored
 from lumensift.llm.textbuf import BASE, BYTE_VALUE, INVERSE, PIECE, buffer_of, mixed, powers, releasing
 
-#: Rows of one name and cover, from which on its join goes by parts, and the number of parts.
-HOT_COVER, SALTS = 10_000, 64
+#: Rows of one name and cover, from which on its join goes in parts.
+HOT_COVER = 10_000
 
 HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
@@ -183,13 +183,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _of_covers(tied: DataFrame, covers: DataFrame) -> DataFrame:
     """The runs whose name and cover another run has. Hot covers are joined in parts: a copy of very many texts is no hot key."""
-    key = F.xxhash64("name", "cover").alias("_key")
-    hot = covers.where(F.col("n") >= HOT_COVER).select(key)
-    runs = flagged(tied.select("*", key), "_key", hot)
-    runs = runs.withColumn("_salt", F.when(F.col("_maybe"), F.pmod(F.xxhash64("row", "first"), F.lit(SALTS))).otherwise(0))
-    again = flagged(covers.where("n > 1").select("name", "cover", key), "_key", hot)
-    again = again.select("name", "cover", F.explode(F.when(F.col("_maybe"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))).alias("_salt"))
-    return runs.join(again, ["name", "cover", "_salt"], "left_semi").select(*tied.columns)
+    keys = ["name", "cover"]
+    return join_in_parts(tied, covers.where("n > 1").select(*keys), keys, covers.where(F.col("n") >= HOT_COVER), F.xxhash64("row", "first"), "left_semi")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import components, small_batches, stored
+from lumensift.llm.common import HOT_COMPONENT, components, join_in_parts, small_batches, stored
 from lumensift.llm.textbuf import releasing
 
 MOST_PIVOTS = 16_384
@@ -434,8 +434,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, overlap: int = 2) -> D
     same = own.join(several, "vec_id").where("u <> node").select("u", F.col("node").alias("v"))
     edges = inside.where("root <> node").select(F.col("root").alias("u"), F.col("node").alias("v")).unionByName(pairs).unionByName(same)
     joined = classes.select("node", "rep", "size").join(components(edges, "vectors"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = joined.join(smallest, "component").join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    hot = smallest.where(F.col("nodes") >= HOT_COMPONENT)
+    known = join_in_parts(joined, smallest, ["component"], hot, F.xxhash64("node")).join(links, "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     known = own.join(known, "node").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = given.select("vec_id").join(known, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
