@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumensift.operators.match import TextRule, scan_texts
-from lumensift.operators.tables import settled
+from lumensift.operators.tables import settled, ship
 from lumensift.sources.files import newlines
-from lumensift.sources.java import syntax_nodes
+from lumensift.sources.java import java_nodes, syntax_nodes
 
 # Rule, severity, weakness and message of the six rules on nodes.
 SYNTAX = {
@@ -95,6 +99,28 @@ def supplement_findings(files: DataFrame) -> DataFrame:
     )
 
 
+FOUND = "rule_id string, severity string, message string, file string, line int, end_line int, code_snippet string, engine string, cwe string"
+
+
+def _check(batches: Iterator[pa.RecordBatch], check: Callable[[str, str, list[dict]], list[dict]]) -> Iterator[pa.RecordBatch]:
+    names = [part.split()[0] for part in FOUND.split(", ")]
+    kinds = {"line": pa.int32(), "end_line": pa.int32()}
+    for batch in batches:
+        rows = []
+        for path, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            nodes = java_nodes(text or "") if lang == "java" else []
+            rows += [{"file": path, "engine": "builtin-v2"} | found for found in check(path, text or "", nodes)]
+        yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
+
+
+def checked(files: DataFrame, check: Callable[[str, str, list[dict]], list[dict]], languages: list[str] = ("java",)) -> DataFrame:
+    """Findings of a rule of one's own: check(path, text, nodes) gives a file's findings, as many as there are, as dicts with
+    any of the columns of FOUND. nodes are those of a Java source. No languages: files of all."""
+    ship(files.sparkSession)
+    own = files.where(F.col("lang").isin(list(languages))) if languages else files
+    return own.select("path", "text", "lang").mapInArrow(partial(_check, check=check), FOUND)
+
+
 def engine_scan(files: DataFrame) -> DataFrame:
     """All findings of the syntax engine in files (path, text, lang)."""
     return syntax_findings(settled(syntax_nodes(files))).unionByName(supplement_findings(files))

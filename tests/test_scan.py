@@ -437,3 +437,32 @@ def test_full_scan(spark):
     given, methods = C.full_scan(spark.createDataFrame(SCANNED, "path string, lang string, text string"))
     assert {r.status for r in given.collect()} == {"unchanged"} and given.count() == 3
     assert {(r.file, r.name) for r in methods.collect()} >= {("src/Dao.java", "a")}
+
+
+def test_rules_of_ones_own(spark):
+    from lumensift.operators.syntax import checked
+
+    def long_methods(path, text, nodes):
+        return [{"rule_id": "own-long", "severity": "INFO", "line": text.count("\n", 0, n["start"]) + 1, "message": n["name"]} for n in nodes if n["type"] == "method_declaration" and n["stop"] - n["start"] > 300]
+
+    sources = spark.createDataFrame([("G.java", "java", TREE_CODE), ("x.py", "python", "def f(): pass"), ("n.java", "java", None)], "path string, lang string, text string")
+    got = checked(sources, long_methods).collect()
+    assert [(r.file, r.rule_id, r.message, r.engine, r.cwe) for r in got] == [("G.java", "own-long", "check", "builtin-v2", None)]
+    assert checked(sources, lambda path, text, nodes: [{"rule_id": "r"}], []).count() == 3
+
+
+def test_review_workflows(spark, tmp_path):
+    from lumensift.operators.review import DEFAULT_PROMPT, Review, workflow_names
+
+    assert workflow_names() == ["security", "quality", "performance", "architecture", "comprehensive"]
+    (tmp_path / "code-quality-prompt.md").write_text('intro\n"""\nfirst\n"""\n"""second"""')
+    (tmp_path / "security-audit-prompt.md").write_text("whole file")
+    (tmp_path / "p.yaml").write_text("temperature: 0.5\nmodel: own\n")
+    review = Review("quality", str(tmp_path), str(tmp_path / "p.yaml"), temperature=0.7, top_p=None)
+    assert review.params == {"temperature": 0.7, "max_tokens": 2048, "top_p": 0.9, "model": "own"} and review.prompt == "first"
+    assert review.switch("security") and review.prompt == "whole file" and not review.switch("none") and review.workflow == "security"
+    assert review.switch("architecture") and review.prompt == DEFAULT_PROMPT
+    assert Review("no such", params_file=str(tmp_path / "none.yaml")).params["max_tokens"] == 1024
+    found = spark.createDataFrame([(1, "r")], "rank int, rule_id string")
+    lines = [r.txt for r in review.task(found, spark.createDataFrame([("a", 1)], "path string, ord int"), "contract").orderBy("section", "rank", "n").collect()]
+    assert lines[0] == "contract" and '  "temperature": 0.7,' in lines
