@@ -7,7 +7,6 @@ from functools import cache
 from typing import NamedTuple
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 try:  # the parser behind ``re``; without it nothing is known of an expression, and it runs on every text
     from re import _constants as C
