@@ -65,7 +65,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Deletes stored tables whose every use has been stored itself: nothing reads them again, lost executors or not."""
+    for t in tables:
+        _clear(t.sparkSession, t._stored_at)
 
 
 #: A bitmap of Spark's bitmap functions covers so many bits.
@@ -124,7 +132,6 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     a stored table, and the number of rounds grows with the logarithm of the longest chain. A hot node is only a hot
     key of a minimum (combined before the shuffle) and of a join that may be split.
     """
-    spark = edges.sparkSession
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-edges")
     before = None
     while True:  # a round that changes nothing is the last: the edges only ever move to smaller nodes
@@ -136,7 +143,8 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small, f"{tag}-star")
+        last, e = e, stored(small, f"{tag}-star")
+        forgotten(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import HOT_COMPONENT, components, flagged, join_in_parts, maybe_member, small_batches, stored
+from lumensift.llm.common import HOT_COMPONENT, components, flagged, forgotten, join_in_parts, maybe_member, small_batches, stored
 from lumensift.llm.textbuf import FACTORS, MASKS, buffer_of, distinct, mixed, releasing, shingles
 
 BANDS, ROWS = 16, 4
@@ -235,16 +235,18 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     least = _least_agreeing(percent / 100)
     members = classes.where("n_shingles > 0 and rep is not null").select("node", "rep", "n_shingles", "sig", "bands", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    in_bucket = stored(members.join(sizes, ["band", "key"]), "minhash-members")
+    shared = stored(members.join(sizes, ["band", "key"]), "minhash-members")
     # the leader of a bucket is its most central member, that of the largest buckets: most others link with it
-    central = in_bucket.groupBy("node").agg(F.sum("size").alias("central"))
-    leading = in_bucket.select("band", "key", "node").join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("leader"))
-    in_bucket = stored(in_bucket.join(leading, ["band", "key"]), "minhash-led")
+    central = shared.groupBy("node").agg(F.sum("size").alias("central"))
+    leading = shared.select("band", "key", "node").join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("leader"))
+    in_bucket = stored(shared.join(leading, ["band", "key"]), "minhash-led")
+    forgotten(shared)
     leaders = classes.select(F.col("node").alias("leader"), F.col("rep").alias("ui"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
     star = in_bucket.where("node <> leader").select("leader", "node", F.col("rep").alias("vi"), "sig", "n_shingles").dropDuplicates(["leader", "node"]).join(leaders, "leader")
     star = star.where(F.expr(f"{_agreeing('sig', 'sig2')} >= {least} and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"))
     star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star")
     links = stored(_confirmed(star, docs, words, percent).distinct(), "minhash-links")
+    forgotten(star)
     # an identifier with several texts joins their classes
     own = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", node)
     several = own.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("doc_id", "u")
@@ -253,6 +255,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     promising, across = (_on_blocks(f, least, percent) for f in (_promising, partial(_across, words=words)))
     rest = _blocks(in_bucket, found)
     rest = stored(rest.groupBy(*PLACE).applyInArrow(promising, rest.schema), "minhash-rest")
+    forgotten(in_bucket)
     if not rest.isEmpty():
         texts = maybe_member(docs, "doc_id", rest.select(F.col("rep").alias("doc_id")).distinct()).select(F.col("doc_id").alias("rep"), "text")
         texts = texts.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["rep", "_hash"]).drop("_hash")

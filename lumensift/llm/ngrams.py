@@ -37,6 +37,8 @@ BACKOFF = 0.4
 #: Bytes of text in a block, and words of all blocks in a partition of the count tables, about.
 BLOCK_BYTES = 8 << 20
 PARTITION_WORDS = 4_000_000
+#: Blocks that a task scores, about.
+BLOCKS_A_TASK = 4
 
 BLOCKS = "block long, docs array<long>, sizes binary, words binary, tokens binary, n long"
 
@@ -179,10 +181,12 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = stored(rows.mapInArrow(_blocks, BLOCKS), "ngrams-blocks")
-    words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(4, (words // PARTITION_WORDS).bit_length())
     grams = blocks.select("block", "sizes", "words", "tokens").mapInArrow(partial(_grams, bits=bits), "part int, n int, block long, hashes binary, counts binary")
     totals = grams.groupBy("n", "part").applyInArrow(_total, "part int, n int, block long, totals binary")
-    answers = totals.groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))
-    both = blocks.join(answers, "block", "left").select("docs", "sizes", "words", "tokens", "answers")
+    # a few blocks in each task, however many there are
+    tasks = max(1, -(-n_blocks // BLOCKS_A_TASK))
+    answers = totals.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))
+    both = blocks.repartition(tasks, "block").join(answers, "block", "left").select("docs", "sizes", "words", "tokens", "answers")
     return both.mapInArrow(partial(_scores, words=words), "doc_id long, n_words long, log_score double, n_backoff long")

@@ -62,9 +62,9 @@ def _located(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def _entropy(text: str) -> str:
-    """SQL for the greatest entropy of a window of the string, by incremental counts over printable ASCII."""
+    """SQL for the greatest entropy of a window of the string, by incremental counts of its distinct characters."""
     f = "if({0} > 1, {0} * log2({0}), 0D)"
-    codes = f"transform(split({text}, ''), c -> ascii(c) - 33)"
+    codes = f"transform(split({text}, ''), c -> cast(array_position(chars, c) - 1 as int))"
     old, gone = "acc.n[codes[i]]", "acc.n[codes[i - %d]]" % WINDOW
     # the character that leaves goes first; its count is read before, the entering one's after that
     leave = f"if(i < {WINDOW}, acc.s, acc.s + {f.format(f'({gone} - 1)')} - {f.format(gone)})"
@@ -72,9 +72,10 @@ def _entropy(text: str) -> str:
     s = f"{leave} + {f.format(f'({entering} + 1)')} - {f.format(entering)}"
     counts = f"transform(acc.n, (c, k) -> c + if(k = codes[i], 1, 0) - if(i >= {WINDOW}, if(k = codes[i - {WINDOW}], 1, 0), 0))"
     step = f"named_struct('n', {counts}, 's', {s}, 'low', if(i >= {WINDOW} - 1, least(acc.low, {s}), acc.low))"
-    start = "named_struct('n', array_repeat(0, 94), 's', 0D, 'low', double('infinity'))"
+    start = "named_struct('n', array_repeat(0, size(chars)), 's', 0D, 'low', double('infinity'))"
     fold = f"aggregate(sequence(0, size(codes) - 1), {start}, (acc, i) -> {step}, acc -> log2({WINDOW}) - acc.low / {WINDOW})"
-    return f"element_at(transform(array({codes}), codes -> {fold}), 1)"
+    numbered = f"element_at(transform(array({codes}), codes -> {fold}), 1)"
+    return f"element_at(transform(array(array_distinct(split({text}, ''))), chars -> {numbered}), 1)"
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allowed: list[str] = ALLOWED) -> DataFrame:

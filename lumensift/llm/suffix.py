@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import flagged, join_in_parts, maybe_member, small_batches, stored
+from lumensift.llm.common import flagged, forgotten, join_in_parts, maybe_member, small_batches, stored
 from lumensift.llm.textbuf import BASE, BYTE_VALUE, INVERSE, PIECE, buffer_of, mixed, powers, releasing
 
 #: Rows of one name and cover, from which on its join goes in parts.
@@ -193,6 +193,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     again = stored(runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "suffix-names")
     tied = maybe_member(runs, "name", again, 1 << 26).join(again, "name", "left_semi")
     tied = stored(tied, "suffix-tied")
+    forgotten(runs, again)
     covers = tied.groupBy("name", "cover").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "last")).alias("one"))
     covers = stored(covers, "suffix-covers")
     whole = _of_covers(tied, covers)
@@ -206,7 +207,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     # by both ranks: a passage that very many texts share gives many keys of as many rows as it has versions
     ranked = ranked.repartition("a", "b").sortWithinPartitions("a", "b")
     hit = ranked.mapInArrow(_repeated, "row long, start int")
-    return stored(whole.unionByName(hit.select("row", "start", (F.col("start") + length).cast("int").alias("stop"))), "suffix-spans")
+    spans = stored(whole.unionByName(hit.select("row", "start", (F.col("start") + length).cast("int").alias("stop"))), "suffix-spans")
+    forgotten(tied, covers)
+    return spans
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -230,8 +233,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = _named(docs)
     spans = repeated_spans(docs.select("row", "text"), length)
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = stored(spans, "suffix-by-row")
+    by_row = stored(spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "suffix-by-row")
+    forgotten(spans)
+    spans = by_row
     seen = flagged(docs, "row", spans)
     size = F.octet_length("text").cast("long")
     whole = lambda df: df.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").cast("binary").alias("kept"))

@@ -15,7 +15,7 @@ shard are rows, of which the search finds few.
 A sample of queries against all rows, of any nodes and of nodes with links, audits the recall; below ``LEAST_RECALL``
 another round deals the vectors to twice as many shards, and the links of all rounds count. If the recall stays under
 ``RECALL_FLOOR`` the operator raises. The pivots are a bounded sample (``MOST_PIVOTS`` at an overlap of 2 and in
-proportion to it, smallest hashes), every row is indexed.
+proportion to it, smallest hashes) without those in range of one another, every row is indexed.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite values, and rows without label or
 identifier, link with nothing; vectors of different lengths aren't compared; equal vectors of a label are one node of
@@ -108,6 +108,22 @@ def _deal(batches: Iterator[pa.RecordBatch], pivots: dict, overlap: int, first:
         yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "length", "vec", "size", "shards", "shard"])
 
 
+def _thinned(pivots: np.ndarray, least: float) -> np.ndarray:
+    """The pivots without those in range of an earlier one: a dense group stays together, however many of its vectors were
+    drawn."""
+    kept = pivots[:0]
+    for at in range(0, len(pivots), 256):
+        some = pivots[at : at + 256]
+        if len(kept):
+            some = some[(some @ kept.T).max(1) < least]
+        near, own = some @ some.T >= least, []
+        for i in range(len(some)):
+            if not near[i, own].any():
+                own.append(i)
+        kept = np.concatenate([kept, some[own]])
+    return kept
+
+
 def robust_prune(near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbours of each of the vectors whose cosines are ``near``."""
     n = len(near)
@@ -352,7 +368,7 @@ def _round(nodes: DataFrame, count: int, least: float, overlap: int, first: int)
     # in proportion to the overlap, so that shards don't grow with it
     many = max(1, min(MOST_PIVOTS, count // PER_PIVOT) * max(overlap, 2) // 2)
     sample = nodes.orderBy(F.xxhash64(F.lit(3), "node"), "node").limit(many).collect()
-    pivots = {k: v for k, (_, v) in _by_group(sample).items()}
+    pivots = {k: _thinned(v, least) for k, (_, v) in _by_group(sample).items()}
     dealt = stored(nodes.select(*NODES).mapInArrow(partial(_deal, pivots=pivots, overlap=overlap, first=first), DEALT), "vectors-dealt")
     nodes = nodes.drop("shards").join(dealt.groupBy("node").agg(F.first("shards").alias("shards")), "node")
     nodes = stored(nodes.select(*NODES), "vectors-nodes")

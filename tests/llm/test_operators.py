@@ -652,6 +652,10 @@ def test_pipeline_stages_on_messy_rows(spark, docs, none, tmp_path):
         assert name == "bpe" or out.columns == given.columns
         now, kept[name] = out, out.collect()
         assert stage(spark, none, sf).collect() == []
+    one_kind = f"{sf}/one-kind"
+    spark.createDataFrame([(1000, 1), (1005, 1)], "doc_id long, toxic int").write.parquet(f"{one_kind}/labels.parquet")
+    given.write.parquet(f"{one_kind}/documents.parquet")
+    assert corpus_pipeline.STAGES[0][1](spark, given, one_kind).count() == given.count()
     toxic = {i for i, _, bad in told if bad}
     assert {r.doc_id for r in kept["toxicity"]} == {r.doc_id for r in given.collect()} - toxic
     assert len(kept["toxicity"]) == given.count() - len(toxic)
