@@ -24,8 +24,11 @@ TOXIC = 0.3
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the classifier takes for toxic. It learns from the labelled documents of sf_dir; labels of
-    documents that aren't there, and null labels, teach nothing. Null and empty texts score 0 and stay."""
+    documents that aren't there, and null labels, teach nothing; without labels of both kinds all rows stay. Null and
+    empty texts score 0 and stay."""
     model = toxicity.train(table(spark, sf_dir, "documents"), toxicity.toxic_labels(table(spark, sf_dir, "labels")))
+    if model.rate is not None:  # nothing tells toxic documents apart: none is rejected
+        return docs
     return toxicity.score_rows(docs, model).where(F.col("score") < TOXIC).select("doc.*")
 
 
