@@ -52,6 +52,11 @@ def _best(parts, fold: bool) -> frozenset[tuple[str, bool]]:
         if op is C.LITERAL:
             run += chr(arg)
             continue
+        if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and arg[0] > 0 and len(arg[2]) == 1 and arg[2][0][0] is C.LITERAL:
+            run += chr(arg[2][0][1])  # what stands before meets the first of them, what follows the last one
+            flush()
+            run = chr(arg[2][0][1])
+            continue
         flush()
         if op is C.SUBPATTERN:
             _, added, removed, inner = arg

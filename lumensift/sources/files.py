@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumensift.functions import text as T
+from lumensift.functions.needles import may_match
 
 
 def read_files(spark: SparkSession, root: str, extensions: list[str] = T.SOURCE_EXTENSIONS, skipped: list[str] = T.SOURCE_SKIPPED) -> DataFrame:
@@ -51,7 +52,9 @@ def multiline_matches(texts: DataFrame, key: str, regex: str, text: str = "text"
     What lies between matches and the matches themselves come from built-ins; line numbers are running sums of their
     line ends within one text.
     """
-    out = located(texts.select(key, text), F.col(text), F.lit(regex))
+    cheap = may_match(F.col(text), F.lower(text), regex)
+    own = texts.select(key, text)
+    out = located(own if cheap is None else own.where(cheap), F.col(text), F.lit(regex))
     return out.select(key, "k", "line", "matched")
 
 
