@@ -6,7 +6,7 @@ a pattern splits off and of what it matches, by prefix sums. The entropy of a wi
 changes two counts, so ``S`` is updated and not summed again.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; positions count code points, ends
-are exclusive; further columns are not read. An entropy span that overlaps a pattern's span isn't added.
+are exclusive; texts of any length are scanned whole; an empty table gives an empty result; further columns are not read. An entropy span that overlaps a pattern's span isn't added.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ PATTERNS = [
 ]
 #: Kind, characters of the class, least entropy in bits of some window, what a candidate must hold besides.
 CLASSES = [
-    ("entropy_hex", r"[0-9A-Fa-f]", 2.9, r"(?=.*[0-9])(?=.*[A-Fa-f])"),
-    ("entropy_base64", r"[A-Za-z0-9+/_=-]", 3.7, r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
+    ("entropy_hex", r"[0-9A-Fa-f]", 2.9, r"^(?=.*[0-9])(?=.*[A-Fa-f])"),
+    ("entropy_base64", r"[A-Za-z0-9+/_=-]", 3.7, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"),
     ("entropy_base36", r"[A-Za-z0-9+/_=-]", 3.5, r"^(?=.*[0-9])(?=.*[a-z])[^A-Z]*$"),
     ("entropy_base32", r"[A-Za-z0-9+/_=-]", 3.5, r"^(?=.*[0-9])(?=.*[A-Z])[^a-z]*$"),
 ]
