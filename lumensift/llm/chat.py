@@ -18,8 +18,8 @@ Conversations are streamed in order of their turns: a task holds the history of
 conversations are.
 
 Defined results: null texts and roles are empty; turns that tie are ordered by role and text; repeated rows are turns of
-their own; rows with a null identifier form one conversation; an empty table gives an empty result; further columns are
-not read.
+their own; rows with a null identifier form one conversation; turns of any length stay whole; an empty table gives an
+empty result; further columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ the words that remain, and ``A`` = 0.4, a word w after u has
 and a text's first word starts at the second line. The score is the sum of logarithms.
 
 Defined results: null, empty and blank texts have no words and score 0; repeated rows are rows of their own, so each
-is known to the other; an empty table gives an empty result; further columns are not read. Words are runs of other
+is known to the other; texts of any length are counted whole, a block holds one at least; an empty table gives an empty result;
+further columns are not read. Words are runs of other
 characters than ASCII white space, with A-Z as a-z.
 """
 
@@ -184,7 +185,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words, n_blocks = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     bits = max(4, (words // PARTITION_WORDS).bit_length())
     grams = blocks.select("block", "sizes", "words", "tokens").mapInArrow(partial(_grams, bits=bits), "part int, n int, block long, hashes binary, counts binary")
-    totals = grams.groupBy("n", "part").applyInArrow(_total, "part int, n int, block long, totals binary")
+    # about a part of a table for each task
+    totals = grams.repartition(2 << bits, "n", "part").groupBy("n", "part").applyInArrow(_total, "part int, n int, block long, totals binary")
     # a few blocks in each task, however many there are
     tasks = max(1, -(-n_blocks // BLOCKS_A_TASK))
     answers = totals.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("answers"))

@@ -13,7 +13,7 @@ driver, on at most ``MAX_ROWS`` sparse rows of those words. Scoring reads every
 Defined results: null and empty texts, and texts without words, have no sentences and score 0; repeated rows are scored
 each; of labels that repeat for an identifier the greatest counts; labels with nulls don't; without labels of both
 kinds, or without any word that sets them apart, a document's score is the share of positive labels; further columns
-are not read. Words are runs of letters, A-Z as a-z; sentences end at ``.``, ``!``, ``?`` or a line's end.
+are not read; texts of any length are scored whole. Words are runs of letters, A-Z as a-z; sentences end at ``.``, ``!``, ``?`` or a line's end.
 """
 
 from __future__ import annotations
@@ -153,18 +153,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     chosen = np.sort(np.array([r["word"] for r in best.select("word").collect()], np.int64).view(np.uint64))
     if not len(chosen):
         return empty
-    got = held.mapInArrow(partial(_bags, chosen=chosen), "label long, size long, places array<int>").collect()
-    got.sort(key=lambda r: (r["label"], r["size"], r["places"]))  # rows come in any order; sums are to agree in every run
-    places = [np.array(r["places"], np.int64).reshape(-1, 2) for r in got]
-    bag, sentence, word, named = [], [], [], 0
-    for i, p in enumerate(places):
-        own, at = np.unique(p[:, 0], return_inverse=True)
-        bag.append(np.full(len(own), i))
-        sentence.append(at + named)
-        word.append(p[:, 1])
-        named += len(own)
-    cat = lambda x: np.concatenate(x).astype(np.int64)
-    weights, bias = fit(cat(bag), cat(sentence), cat(word), np.array([r["size"] for r in got]), np.array([r["label"] for r in got], float), len(chosen))
+    got = held.mapInArrow(partial(_bags, chosen=chosen), "label long, size long, places array<int>").toArrow().combine_chunks()
+    label, size = (got.column(c).to_numpy() for c in ("label", "size"))
+    lists = got.column("places").combine_chunks()
+    edge = lists.offsets.to_numpy() // 2
+    pairs = lists.values.to_numpy().reshape(-1, 2)
+    # rows come in any order; sums are to agree in every run
+    order = sorted(range(len(label)), key=lambda i: (label[i], size[i], pairs[edge[i] : edge[i + 1]].tobytes()))
+    bag = np.repeat(np.arange(len(order)), np.diff(edge)[order])
+    pairs = np.concatenate([pairs[edge[i] : edge[i + 1]] for i in order]).astype(np.int64)
+    # sentences with any of the words, numbered through all bags
+    most = int(size.max()) + 1
+    named, sentence = np.unique(bag * most + pairs[:, 0], return_inverse=True)
+    weights, bias = fit(named // most, sentence, pairs[:, 1], size[order], label[order].astype(float), len(chosen))
     return Model(chosen, weights, bias)
 
 

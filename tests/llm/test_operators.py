@@ -668,3 +668,33 @@ def test_pipeline_stages_on_messy_rows(spark, docs, none, tmp_path):
     assert Counter(r.doc_id for r in kept["bpe"]) == Counter(r.doc_id for r in kept["mixing"])
     for r in kept["mixing"]:
         assert r._maybe in (True, None) and r.digest in ("d", None)
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, which no batch splits, beside short ones."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    long = " ".join(rng.choice(words) for _ in range(330_000)) + " token=abcdef12"
+    near = long.replace(" ", "\n", 7)[:-20] + " and another end"
+    rows = [(1, long, "a"), (2, long, "a"), (3, near, "b"), (4, "short one", "b"), (5, "x" * 1_500_000, "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert len(long) > 2_000_000
+    assert {r.id: r.keep_id for r in exact_dedup.exact_groups(table).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(table, 2).collect()}
+    assert groups == {i: (len(sets(t, 2)), {2: 1, 3: 1}.get(i, i)) for i, t, _ in rows}
+    removed = {r.doc_id: (r.n_bytes - r.n_removed, len(r.kept)) for r in suffix.remove_repeats(table).collect()}
+    assert removed[1] == removed[2] == (0, 0) and removed[3][0] < 400 and removed[4] == (9, 9) and removed[5][0] < 200
+    tok = Tokenizer.from_file(queries.tokenizer())
+    tok.no_truncation()
+    tok.no_padding()
+    for r in bpe.encode(table.where("doc_id in (1, 3)"), queries.tokenizer()).collect():
+        assert np.frombuffer(r.ids, "<u4").tolist() == tok.encode(rows[r.doc_id - 1][1], add_special_tokens=False).ids
+    assert {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.scan_secrets(table).collect()} == {1: [("assign", len(long) - 14)], 2: [("assign", len(long) - 14)], 3: [], 4: [], 5: []}
+    assert {r.doc_id: r.n_words for r in ngrams.backoff_scores(table).collect()} == {i: len(t.split()) for i, t, _ in rows}
+    assert {r.doc_id: r.size for r in mixing.mix(table).collect()} == {i: len(t.split()) for i, t, _ in rows}
+    model = toxicity.Model(np.zeros(1, np.uint64), np.zeros(1), -3.0)
+    assert all(0 <= r.score <= 1 for r in toxicity.score(table, model).collect())
+    said = chat.read_back(chat.format_conversations(table.selectExpr("doc_id as conv_id", "0 as turn", "'assistant' as role", "text"))).collect()
+    assert {r.conv_id: r.loss_chars for r in said} == {i: len(t) for i, t, _ in rows}
