@@ -61,9 +61,19 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and survives lost executors."""
+#: Rows of a stored table's file, about, where their number is known, and files that a table may have in any case.
+FILE_ROWS, FEW_FILES = 250_000, 12
+
+
+def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends there and survives lost executors.
+
+    rows: how many it has at most. Tables that are small for their number of partitions get fewer files: each costs a
+    task, and calls of the file system.
+    """
     path = shared_path(df.sparkSession, tag)
+    if rows is not None:
+        df = df.coalesce(max(FEW_FILES, rows // FILE_ROWS))
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -133,7 +143,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     key of a minimum (combined before the shuffle) and of a join that may be split.
     """
     e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-edges")
-    before = None
+    before, rows = None, e.count()
     while True:  # a round that changes nothing is the last: the edges only ever move to smaller nodes
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (itself included)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -143,11 +153,11 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        last, e = e, stored(small, f"{tag}-star")
+        last, e = e, stored(small, f"{tag}-star", rows)
         forgotten(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -229,28 +229,29 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(docs.mapInArrow(partial(_sign, words=words), SIGNATURES), "minhash-rows")
+    n = rows.count()
     node = F.struct("k1", "k2").alias("node")
     classes = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = stored(classes.select(node, "rep", "n_shingles", "sig", "bands"), "minhash-classes")
+    classes = stored(classes.select(node, "rep", "n_shingles", "sig", "bands"), "minhash-classes", n)
     least = _least_agreeing(percent / 100)
     members = classes.where("n_shingles > 0 and rep is not null").select("node", "rep", "n_shingles", "sig", "bands", F.posexplode("bands").alias("band", "key"))
     sizes = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(members.join(sizes, ["band", "key"]), "minhash-members")
+    shared = stored(members.join(sizes, ["band", "key"]), "minhash-members", BANDS * n)
     # the leader of a bucket is its most central member, that of the largest buckets: most others link with it
     central = shared.groupBy("node").agg(F.sum("size").alias("central"))
     leading = shared.select("band", "key", "node").join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", "node"))["node"].alias("leader"))
-    in_bucket = stored(shared.join(leading, ["band", "key"]), "minhash-led")
+    in_bucket = stored(shared.join(leading, ["band", "key"]), "minhash-led", BANDS * n)
     forgotten(shared)
     leaders = classes.select(F.col("node").alias("leader"), F.col("rep").alias("ui"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
     star = in_bucket.where("node <> leader").select("leader", "node", F.col("rep").alias("vi"), "sig", "n_shingles").dropDuplicates(["leader", "node"]).join(leaders, "leader")
     star = star.where(F.expr(f"{_agreeing('sig', 'sig2')} >= {least} and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"))
-    star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star")
+    star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star", BANDS * n)
     links = stored(_confirmed(star, docs, words, percent).distinct(), "minhash-links")
     forgotten(star)
     # an identifier with several texts joins their classes
     own = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", node)
     several = own.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("doc_id", "u")
-    links = links.unionByName(stored(own.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "minhash-same"))
+    links = links.unionByName(stored(own.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "minhash-same", n))
     found = components(links, "minhash-first")
     promising, across = (_on_blocks(f, least, percent) for f in (_promising, partial(_across, words=words)))
     rest = _blocks(in_bucket, found)

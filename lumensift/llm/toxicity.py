@@ -33,7 +33,7 @@ from lumensift.llm.textbuf import buffer_of, distinct, releasing, runs
 
 MAX_ROWS = 20_000
 #: Words count from so many documents on, and from this chi-square of a two by two table on: chance gives it to one word
-#: in ten thousand.
+#: in ten thousand. Of four such levels the one with the least log loss in cross-validation over the training folds.
 LEAST_ROWS, LEAST_CHI2 = 3, 15.137
 #: Penalty on squared weights, relative to the mean loss.
 PENALTY = 1e-4

@@ -371,7 +371,7 @@ def _round(nodes: DataFrame, count: int, least: float, overlap: int, first: int)
     pivots = {k: _thinned(v, least) for k, (_, v) in _by_group(sample).items()}
     dealt = stored(nodes.select(*NODES).mapInArrow(partial(_deal, pivots=pivots, overlap=overlap, first=first), DEALT), "vectors-dealt")
     nodes = nodes.drop("shards").join(dealt.groupBy("node").agg(F.first("shards").alias("shards")), "node")
-    nodes = stored(nodes.select(*NODES), "vectors-nodes")
+    nodes = stored(nodes.select(*NODES), "vectors-nodes", count)
     # one row for each shard, of which there is one for each pivot and one for each label without a pivot
     sizes = dealt.groupBy("label", "length", "shard").agg(F.count(F.lit(1)).alias("members"))
     parts = F.ceil(F.col("members") / MOST_SHARD).cast("int")
@@ -421,7 +421,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, overlap: int = 2) -> D
     units = units.select("vec_id", "label", "length", "vec", F.sha2("vec", 256).alias("same"))
     # equal vectors of a label are one node; its size is the number of their identifiers
     classes = units.groupBy("label", "same").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("size"), F.first("length").alias("length"), F.first("vec").alias("vec"))
-    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors-classes")
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "vectors-classes", units.count())
     nodes = classes.select("node", "label", "length", "vec", "size", F.array().cast("array<long>").alias("shards"))
     count = classes.count()
     none = classes.where("false")
@@ -435,7 +435,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, overlap: int = 2) -> D
         pairs = stored(_apart(pairs.unionByName(apart), nodes), "vectors-apart")
         size = nodes.select(F.col("node").alias("v"), "size")
         ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(size, "v").select(F.col("u").alias("node"), F.col("size").alias("links"))
-        links = stored(inside.select("node", "links").unionByName(ways).groupBy("node").agg(F.sum("links").alias("links")), "vectors-links")
+        links = stored(inside.select("node", "links").unionByName(ways).groupBy("node").agg(F.sum("links").alias("links")), "vectors-links", count)
         recall = audit(nodes, links, least)
         if recall >= LEAST_RECALL:
             break
