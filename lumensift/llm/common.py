@@ -62,7 +62,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 
 #: Rows of a stored table's file, about, where their number is known, and files that a table may have in any case.
-FILE_ROWS, FEW_FILES = 250_000, 12
+FILE_ROWS, FEW_FILES = 60_000, 12
 
 
 def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
