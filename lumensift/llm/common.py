@@ -61,19 +61,19 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{folder}/{tag}-{uuid.uuid4().hex}"
 
 
-#: Rows of a stored table's file, about, where their number is known, and files that a table may have in any case.
-FILE_ROWS, FEW_FILES = 60_000, 12
+#: Rows of a stored table's file, about, where their number is known: of wide tables, and of those of a few numbers.
+FILE_ROWS, NARROW_ROWS = 60_000, 250_000
 
 
-def stored(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, tag: str, rows: int | None = None, each: int = FILE_ROWS) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends there and survives lost executors.
 
-    rows: how many it has at most. Tables that are small for their number of partitions get fewer files: each costs a
-    task, and calls of the file system.
+    rows: how many it has at most. Tables that are small for their number of partitions get fewer files, of about
+    ``each`` rows: each file costs a task, calls of the file system, and on a local one processes.
     """
     path = shared_path(df.sparkSession, tag)
     if rows is not None:
-        df = df.coalesce(max(FEW_FILES, rows // FILE_ROWS))
+        df = df.coalesce(1 + rows // each)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -135,14 +135,14 @@ def join_in_parts(rows: DataFrame, other: DataFrame, on: list[str], hot: DataFra
     return rows.join(other, [*on, "_part"], how).drop("_part")
 
 
-def components(edges: DataFrame, tag: str) -> DataFrame:
-    """(node, component): the smallest node reachable over ``edges`` (u, v), for every node of an edge.
+def components(edges: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable over ``edges`` (u, v; rows of them at most), for every node of an edge.
 
     Alternating large-star and small-star rounds. Each is two map-side combined aggregations and a join, each ends in
     a stored table, and the number of rounds grows with the logarithm of the longest chain. A hot node is only a hot
     key of a minimum (combined before the shuffle) and of a join that may be split.
     """
-    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-edges")
+    e = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{tag}-edges", rows, NARROW_ROWS)
     before, rows = None, e.count()
     while True:  # a round that changes nothing is the last: the edges only ever move to smaller nodes
         # large star: every larger neighbour of a node goes to the node's smallest neighbour (itself included)
@@ -153,7 +153,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        last, e = e, stored(small, f"{tag}-star", rows)
+        last, e = e, stored(small, f"{tag}-star", rows, NARROW_ROWS)
         forgotten(last)
         now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.llm.common import HOT_COMPONENT, components, flagged, forgotten, join_in_parts, maybe_member, small_batches, stored
+from lumensift.llm.common import HOT_COMPONENT, NARROW_ROWS, components, flagged, forgotten, join_in_parts, maybe_member, small_batches, stored
 from lumensift.llm.textbuf import FACTORS, MASKS, buffer_of, distinct, mixed, releasing, shingles
 
 BANDS, ROWS = 16, 4
@@ -245,14 +245,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
     leaders = classes.select(F.col("node").alias("leader"), F.col("rep").alias("ui"), F.col("n_shingles").alias("n2"), F.col("sig").alias("sig2"))
     star = in_bucket.where("node <> leader").select("leader", "node", F.col("rep").alias("vi"), "sig", "n_shingles").dropDuplicates(["leader", "node"]).join(leaders, "leader")
     star = star.where(F.expr(f"{_agreeing('sig', 'sig2')} >= {least} and 100 * least(n_shingles, n2) >= {percent} * greatest(n_shingles, n2)"))
-    star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star", BANDS * n)
-    links = stored(_confirmed(star, docs, words, percent).distinct(), "minhash-links")
+    star = stored(star.select(F.col("leader").alias("u"), F.col("node").alias("v"), "ui", "vi"), "minhash-star", BANDS * n, NARROW_ROWS)
+    linked = star.count()
+    links = stored(_confirmed(star, docs, words, percent).distinct(), "minhash-links", linked, NARROW_ROWS)
     forgotten(star)
     # an identifier with several texts joins their classes
     own = rows.where("doc_id is not null and n_shingles > 0").select("doc_id", node)
     several = own.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u <> last").select("doc_id", "u")
-    links = links.unionByName(stored(own.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "minhash-same", n))
-    found = components(links, "minhash-first")
+    links = links.unionByName(stored(own.join(several, "doc_id").where("u <> node").select("u", F.col("node").alias("v")).distinct(), "minhash-same", n, NARROW_ROWS))
+    found = components(links, "minhash-first", linked + n)
     promising, across = (_on_blocks(f, least, percent) for f in (_promising, partial(_across, words=words)))
     rest = _blocks(in_bucket, found)
     rest = stored(rest.groupBy(*PLACE).applyInArrow(promising, rest.schema), "minhash-rest")
